@@ -23,18 +23,27 @@ from pyspark.sql import types as T
 
 from tessella.llm import forms
 from tessella.operators.pairs import pairs_within
+from tessella.plans.lineage import cut
+
+
+#: Blocks of everyday letters and signs; the pattern below may take in other code points, but none of these needlessly.
+EVERYDAY = (
+    (0x20, 0x2FF), (0x370, 0x52F), (0x5D0, 0x5EA), (0x620, 0x6D3), (0x904, 0x97F), (0xE01, 0xE5B), (0x2010, 0x2027), (0x3001, 0x30FF),
+    (0x4E00, 0x9FFF), (0xAC00, 0xD7A3), (0xFF01, 0xFF5E),
+)
+#: Ranges without any such code point, looked at first.
+PLAIN = ((0x00, 0x131), (0x4E00, 0x9FFF), (0xFF01, 0xFF5E), (0x3000, 0x3029), (0x400, 0x45D))
 
 
 def _ranges(chars: list[str]) -> str:
-    """A Java character class of these characters."""
-    cps, out, i = sorted(map(ord, chars)), [], 0
-    while i < len(cps):
-        j = i
-        while j + 1 < len(cps) and cps[j + 1] == cps[j] + 1:
-            j += 1
-        out.append(f"\\x{{{cps[i]:X}}}-\\x{{{cps[j]:X}}}")
-        i = j + 1
-    return "[" + "".join(out) + "]"
+    """A Java character class of these characters in few ranges: gaps without everyday characters are taken in."""
+    out: list[list[int]] = []
+    for cp in sorted(map(ord, chars)):
+        if out and not any(a <= hi and lo <= b for a, b in [(out[-1][1] + 1, cp - 1)] if a <= b for lo, hi in EVERYDAY):
+            out[-1][1] = cp
+        else:
+            out.append([cp, cp])
+    return "[" + "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in out) + "]"
 
 
 @lru_cache(maxsize=1)
@@ -46,7 +55,8 @@ def _needs_explode() -> str:
     seconds = [b for _, b, _ in forms.compose_rows()]
     moving = [c for c, full in forms.expansion_rows() if c in single and unicodedata.combining((unicodedata.normalize("NFC", full) or "a")[0])]
     jamo = [chr(c) for c in (*range(0x1161, 0x1176), *range(0x11A8, 0x11C3))]
-    return _ranges(list({*wide, *moving, *seconds, *jamo, *(c for c, _ in forms.mark_rows())}))
+    plain = "[" + "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in PLAIN) + "]"
+    return f"(?!{plain})" + _ranges(list({*wide, *moving, *seconds, *jamo, *(c for c, _ in forms.mark_rows())}))
 
 
 def _replaced(c: Column) -> Column:
@@ -65,9 +75,7 @@ def _from_cp(c: Column) -> Column:
 def _compose(items: Column) -> Column:
     """Canonical composition of one cluster: an array of (mark class, position, character) in canonical order."""
     pairs = forms.compose_rows()
-    table = F.create_map(*[F.lit(x) for a, b, c in pairs for x in (a + b, c)]) if len(pairs) < 2 else F.map_from_arrays(
-        F.array(*[F.lit(a + b) for a, b, _ in pairs]), F.array(*[F.lit(c) for _, _, c in pairs])
-    )
+    table = F.map_from_arrays(F.array(*[F.lit(a + b) for a, b, _ in pairs]), F.array(*[F.lit(c) for _, _, c in pairs]))
     zero = F.struct(F.lit("").alias("out"), F.lit("").alias("base"), F.lit("").alias("tail"), F.lit(0).alias("last"))
 
     def step(s: Column, x: Column) -> Column:
@@ -123,6 +131,6 @@ def common_form(df: DataFrame, text: str, out: str, explode_all: bool = False) -
 def print_alike_pairs(df: DataFrame, key: str = "id", text: str = "content") -> DataFrame:
     """(id_a, id_b), id_a < id_b: rows whose stored text differs but prints the same. Null texts give no pair."""
     rows = common_form(df.filter(F.col(text).isNotNull()).select(F.col(key).alias("id"), F.col(text).alias("_text")), "_text", "_form")
-    rows = rows.select("id", F.md5("_form").alias("_g"), F.md5("_text").alias("_raw"))
+    rows = cut(rows.select("id", F.unhex(F.md5("_form")).alias("_g"), F.xxhash64("_text").alias("_raw")))
     varied = rows.groupBy("_g").agg(F.min("_raw").alias("lo"), F.max("_raw").alias("hi")).filter("lo != hi").select("_g")
     return pairs_within(rows.join(varied, "_g", "left_semi"), "_g", "id", ("_raw",), F.col("_raw_a") != F.col("_raw_b")).select("id_a", "id_b")
