@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessella.llm import textform
+from tessella.llm import canonical, neardup, sentences, textform
 from tessella.sources.tables import table
 
 
@@ -20,8 +20,25 @@ def p2_forms(spark: SparkSession, d: str) -> DataFrame:
     return textform.common_form(q, "content", "form").select("id", "form")
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return canonical.canonical_values(table(spark, d, "questions"), table(spark, d, "question_curriculums"), table(spark, d, "curriculum_tree"))
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return neardup.NearDuplicates(table(spark, d, "questions")).pairs()
+
+
+def p4_groups(spark: SparkSession, d: str) -> DataFrame:
+    """Every record with a near duplicate, its group and its number of links."""
+    return neardup.NearDuplicates(table(spark, d, "questions")).groups()
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return sentences.sentence_units(table(spark, d, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p2_found": p2_found, "p2_forms": p2_forms}
+    return {"p2_found": p2_found, "p2_forms": p2_forms, "p3_found": p3_found, "p4_found": p4_found, "p4_groups": p4_groups, "p8_found": p8_found}
 
 
 def oracle_sql() -> dict[str, str]:
