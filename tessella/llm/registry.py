@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessella.llm import canonical, neardup, sentences, textform
+from tessella.llm import answers, canonical, neardup, sentences, textform
 from tessella.sources.tables import table
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return answers.defective_pairs(table(spark, d, "questions"), table(spark, d, "documents"))
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return textform.print_alike_pairs(table(spark, d, "questions"))
 
@@ -38,7 +42,7 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p2_found": p2_found, "p2_forms": p2_forms, "p3_found": p3_found, "p4_found": p4_found, "p4_groups": p4_groups, "p8_found": p8_found}
+    return {"p1_found": p1_found, "p2_found": p2_found, "p2_forms": p2_forms, "p3_found": p3_found, "p4_found": p4_found, "p4_groups": p4_groups, "p8_found": p8_found}
 
 
 def oracle_sql() -> dict[str, str]:
