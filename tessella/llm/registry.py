@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessella.llm import answers, canonical, neardup, sentences, textform
+from tessella.llm import answers, canonical, neardup, scans, sentences, textform
 from tessella.sources.tables import table
 
 
@@ -37,12 +37,21 @@ def p4_groups(spark: SparkSession, d: str) -> DataFrame:
     return neardup.NearDuplicates(table(spark, d, "questions")).groups()
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return scans.scan_noise(table(spark, d, "questions"))
+
+
+def p5_repaired(spark: SparkSession, d: str) -> DataFrame:
+    """Every stem and answer as continuous paragraphs without scan noise."""
+    return scans.repaired_texts(table(spark, d, "questions"))
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return sentences.sentence_units(table(spark, d, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p2_found": p2_found, "p2_forms": p2_forms, "p3_found": p3_found, "p4_found": p4_found, "p4_groups": p4_groups, "p8_found": p8_found}
+    return {"p1_found": p1_found, "p2_found": p2_found, "p2_forms": p2_forms, "p3_found": p3_found, "p4_found": p4_found, "p4_groups": p4_groups, "p5_found": p5_found, "p5_repaired": p5_repaired, "p8_found": p8_found}
 
 
 def oracle_sql() -> dict[str, str]:
