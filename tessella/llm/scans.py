@@ -18,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -60,21 +61,26 @@ HYPHEN = re.compile(r"(?<=[^\W\d_])[-‐‑­][^\S\n]*\n[^\S\n]*(?=[^\W\d_])")
 WORD = re.compile(r"[^\W_]+")
 LATIN = re.compile(r"[a-zà-žа-яё]")
 
-_FOLD = None
+_FOLD: dict[int, str | None] = {}
+_FOLDABLE = None
 
 
 def folded(text: str) -> str:
-    """Problem 2's replacement of single characters, so that look-alike encodings aren't taken for misreadings."""
-    global _FOLD
-    if _FOLD is None:
+    """Problem 2's replacement of single letters, so that look-alike encodings aren't taken for misreadings."""
+    global _FOLDABLE
+    if _FOLDABLE is None:
         frm, to, dropped = forms.single_map()
-        _FOLD = dict(zip(map(ord, frm), to, strict=True)) | dict.fromkeys(map(ord, dropped)) | {0xAD: "­"}
-        _FOLD.pop(0x2010, None)
-    return text.translate(_FOLD)
+        _FOLD.update({ord(a): b for a, b in zip(frm, to, strict=True) if a.isalnum()} | {ord(c): None for c in dropped if c <= "\uffff"})
+        for kept in (0xAD, 0x2010):  # they divide words at line ends
+            _FOLD.pop(kept, None)
+        _FOLDABLE = re.compile("[" + re.escape("".join(map(chr, _FOLD))) + "]")
+    return text.translate(_FOLD) if _FOLDABLE.search(text) else text
 
 
 def line_parts(line: str) -> tuple[str, bool]:
     """A line without its page number and with digits masked, and whether it has a page number beside other text."""
+    if not DIGITS.search(line):
+        return line.strip(), False
     m = WITH_PAGE.fullmatch(line)
     if not m or DATA.fullmatch(m["rest"]):
         return DIGITS.sub("#", line.strip()), False
@@ -86,34 +92,29 @@ def may_be_header(part: str) -> bool:
     return 8 <= len(part) <= 90 and not NOT_HEADER.search(part) and sum(c.isalpha() for c in part) >= 4
 
 
-def _hash(s: str) -> int:
-    h = 1469598103934665603
-    for c in s:
-        h = ((h ^ ord(c)) * 1099511628211) & 0xFFFFFFFFFFFFFFFF
-    return h
-
-
 def bucket(s: str, buckets: int = BUCKETS) -> int:
     """A stable hash of a short string."""
-    h = _hash(s)
-    return (h ^ (h >> 29)) % buckets
-
-
-def _signed(s: str) -> int:
-    h = _hash(s)
-    return h - (1 << 64) if h >> 63 else h
+    return xxhash.xxh64_intdigest(s) % buckets
 
 
 def two_buckets(s: str) -> tuple[int, int]:
     """Two independent hashes; the smaller of two counts is hardly ever another string's."""
-    h = _hash(s)
-    return (h ^ (h >> 29)) % BUCKETS, ((h * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF) >> 35) % BUCKETS
+    h = xxhash.xxh64_intdigest(s)
+    return (h & 0xFFFFFFFF) % BUCKETS, (h >> 32) % BUCKETS
+
+
+def _signed(s: str) -> int:
+    """The hash of a line's edge, as it is also rolled over all texts."""
+    h = 1469598103934665603
+    for c in s:
+        h = ((h ^ ord(c)) * 1099511628211) & 0xFFFFFFFFFFFFFFFF
+    return h - (1 << 64) if h >> 63 else h
 
 
 def edges_of(part: str) -> tuple[str, str]:
-    """First and last characters of a line, told apart by a mark and by their length."""
+    """First and last characters of a line, as many as its length asks for."""
     n = EDGES[0] if len(part) >= EDGES[0] else EDGES[1]
-    return f"^{n}" + part[:n], f"${n}" + part[-n:]
+    return part[:n], part[-n:]
 
 
 def _classes() -> tuple[np.ndarray, np.ndarray]:
@@ -338,14 +339,16 @@ def fit(texts: DataFrame) -> ScanModel:
         t[own["k"]] = own["n"]
         tables.append(t)
     lines = rows[rows["kind"] == 0]
-    wanted = np.unique(np.concatenate([lines["a"], lines["z"]]).astype(np.int64).view(np.uint64))
+    wanted = [np.unique(lines[c].to_numpy(np.int64).view(np.uint64)) for c in ("a", "z")]
     coarse = np.zeros(1 << 20, bool)  # a first look, before the exact one
-    coarse[(wanted >> np.uint64(44)).astype(np.int64)] = True
+    for w in wanted:
+        coarse[(w >> np.uint64(44)).astype(np.int64)] = True
     held = sc.broadcast((wanted, coarse))
 
     def edges(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         wanted, coarse = held.value
-        anywhere, at_edge = np.zeros(len(wanted), np.int64), np.zeros(len(wanted), np.int64)
+        anywhere = [np.zeros(len(w), np.int64) for w in wanted]
+        at_edge = [np.zeros(len(w), np.int64) for w in wanted]
         for b in batches:
             parts = [p for t in b["t"] for x in t.split("\n") if len(p := line_parts(x)[0] if len(x) <= 140 else DIGITS.sub("#", x.strip())) >= EDGES[-1]]
             if not parts:
@@ -355,27 +358,32 @@ def fit(texts: DataFrame) -> ScanModel:
             ends = np.cumsum(sizes + 1) - 1
             for edge in EDGES:
                 long = sizes >= edge
-                for mark, places in (("^", ends - sizes), ("$", ends - edge)):
-                    h = np.full(len(points) - edge + 1, 1469598103934665603, np.uint64)
-                    with np.errstate(over="ignore"):
-                        for c in (*(np.uint64(ord(x)) for x in f"{mark}{edge}"), *(points[k : len(points) - edge + 1 + k] for k in range(edge))):
-                            h = (h ^ c) * np.uint64(1099511628211)
-                    edges_here = np.zeros(len(h), bool)
-                    edges_here[places[long]] = True
-                    at = np.flatnonzero(coarse[(h >> np.uint64(44)).astype(np.int64)])
-                    row = np.minimum(np.searchsorted(wanted, h[at]), len(wanted) - 1)
-                    same = wanted[row] == h[at]
-                    anywhere += np.bincount(row[same], minlength=len(wanted))
-                    at_edge += np.bincount(row[same & edges_here[at]], minlength=len(wanted))
-        k = np.flatnonzero(anywhere)
-        yield pd.DataFrame({"k": k, "n": anywhere[k], "e": at_edge[k]})
-
-    share = np.zeros(len(wanted))
+                h = np.full(len(points) - edge + 1, 1469598103934665603, np.uint64)
+                with np.errstate(over="ignore"):
+                    for k in range(edge):
+                        h ^= points[k : len(points) - edge + 1 + k]
+                        h *= np.uint64(1099511628211)
+                at = np.flatnonzero(coarse[(h >> np.uint64(44)).astype(np.int64)])
+                found = h[at]
+                for side, places in enumerate((ends - sizes, ends - edge)):
+                    on_edge = np.zeros(len(h), bool)
+                    on_edge[places[long]] = True
+                    row = np.minimum(np.searchsorted(wanted[side], found), len(wanted[side]) - 1)
+                    same = wanted[side][row] == found
+                    anywhere[side] += np.bincount(row[same], minlength=len(wanted[side]))
+                    at_edge[side] += np.bincount(row[same & on_edge[at]], minlength=len(wanted[side]))
+        for side in (0, 1):
+            k = np.flatnonzero(anywhere[side])
+            yield pd.DataFrame({"side": side, "k": k, "n": anywhere[side][k], "e": at_edge[side][k]})
+
+    share = [np.zeros(len(w)) for w in wanted]
     if len(lines):
-        e = texts.select("t").mapInPandas(edges, "k int, n long, e long").groupBy("k").agg(F.sum("n").alias("n"), F.sum("e").alias("e")).toPandas()
-        share[e["k"]] = e["e"] / e["n"]
-    of = lambda c: share[np.searchsorted(wanted, lines[c].to_numpy(np.int64).view(np.uint64))]
-    good = lines[(of("a") >= HEADER_SHARE) & (of("z") >= HEADER_SHARE)]
+        e = texts.select("t").mapInPandas(edges, "side int, k int, n long, e long").groupBy("side", "k").agg(F.sum("n").alias("n"), F.sum("e").alias("e")).toPandas()
+        for side in (0, 1):
+            own = e[e["side"] == side]
+            share[side][own["k"]] = own["e"] / own["n"]
+    of = lambda side, c: share[side][np.searchsorted(wanted[side], lines[c].to_numpy(np.int64).view(np.uint64))]
+    good = lines[(of(0, "a") >= HEADER_SHARE) & (of(1, "z") >= HEADER_SHARE)]
     return ScanModel(set(map(int, good["k"])), *tables)
 
 
