@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessella.llm import answers, canonical, neardup, scans, sentences, textform
+from tessella.llm import answers, canonical, mixing, neardup, packing, scans, sentences, textform, tokens
 from tessella.sources.tables import table
 
 
@@ -46,12 +46,30 @@ def p5_repaired(spark: SparkSession, d: str) -> DataFrame:
     return scans.repaired_texts(table(spark, d, "questions"))
 
 
+def p6_bins(spark: SparkSession, d: str) -> DataFrame:
+    """Every document's container, for each capacity."""
+    return packing.pack(tokens.with_tokens(table(spark, d, "documents")), table(spark, d, "pack_specs"))
+
+
+def p6_report(spark: SparkSession, d: str) -> DataFrame:
+    return packing.report(p6_bins(spark, d))
+
+
+def p7_mix(spark: SparkSession, d: str) -> DataFrame:
+    """The records of each mix in the order of its slots."""
+    return mixing.mix(tokens.with_tokens(table(spark, d, "documents"), carry=("source",)), table(spark, d, "mix_targets"))
+
+
+def p7_shares(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.shares(p7_mix(spark, d), table(spark, d, "mix_targets"))
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return sentences.sentence_units(table(spark, d, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p2_found": p2_found, "p2_forms": p2_forms, "p3_found": p3_found, "p4_found": p4_found, "p4_groups": p4_groups, "p5_found": p5_found, "p5_repaired": p5_repaired, "p8_found": p8_found}
+    return {"p1_found": p1_found, "p2_found": p2_found, "p2_forms": p2_forms, "p3_found": p3_found, "p4_found": p4_found, "p4_groups": p4_groups, "p5_found": p5_found, "p5_repaired": p5_repaired, "p6_bins": p6_bins, "p6_report": p6_report, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found}
 
 
 def oracle_sql() -> dict[str, str]:
