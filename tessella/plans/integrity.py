@@ -1 +1,211 @@
-"""Queries."""
+"""Queries that repair, check and update relations."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tessella.functions.values import blank
+from tessella.operators import repair
+from tessella.registry import query
+from tessella.sources.tables import table
+
+CURR = "curr as (select * from (select c.*, row_number() over (partition by question_id, version_code order by id desc) as rn from question_curriculums c where question_id in (select id from questions)) where rn = 1)"
+CLEAN = """clean as (select id, paper_id, question_id, coalesce(order_index, 0) as order_index, greatest(coalesce(score, 0), 0) as score from
+  (select pq.*, row_number() over (partition by paper_id, coalesce(order_index, 0) order by id desc) as rn from paper_questions pq where question_id in (select id from questions) and paper_id in (select id from papers)) where rn = 1)"""
+
+
+@query("ded1_curriculums", f"with {CURR} select id, question_id, version_code, chapter from curr")
+def ded1_curriculums(spark: SparkSession, d: str) -> DataFrame:
+    """DED1, JOIN3: the latest row per question and edition, orphans dropped."""
+    return repair.clean_curriculums(table(spark, d, "question_curriculums"), table(spark, d, "questions")).select("id", "question_id", "version_code", "chapter")
+
+
+@query("ded2_items", f"with {CLEAN} select * from clean")
+def ded2_items(spark: SparkSession, d: str) -> DataFrame:
+    """DED2, JOIN4: the latest item per paper and place."""
+    t = [table(spark, d, x) for x in ("paper_questions", "papers", "questions")]
+    return repair.clean_items(*t).select("id", "paper_id", "question_id", "order_index", "score")
+
+
+@query("join9_totals", f"with {CLEAN} select p.id, cast(coalesce(s.s, 0) as integer) as total_score from papers p left join (select paper_id, sum(score) as s from clean group by 1) s on s.paper_id = p.id")
+def join9_totals(spark: SparkSession, d: str) -> DataFrame:
+    t = [table(spark, d, x) for x in ("paper_questions", "papers", "questions")]
+    return repair.totals(t[1], repair.clean_items(*t)).select("id", "total_score")
+
+
+@query("agg14_removed", f"with {CURR}, {CLEAN} select (select count(*) from question_curriculums) - (select count(*) from curr) as curriculums_removed, (select count(*) from paper_questions) - (select count(*) from clean) as items_removed")
+def agg14_removed(spark: SparkSession, d: str) -> DataFrame:
+    """Rows a repair takes away, before less after."""
+    q, p, c, i = (table(spark, d, x) for x in ("questions", "papers", "question_curriculums", "paper_questions"))
+    n = lambda df, name: df.agg(F.count(F.lit(1)).alias(name))
+    parts = [n(c, "c0"), n(repair.clean_curriculums(c, q), "c1"), n(i, "i0"), n(repair.clean_items(i, p, q), "i1")]
+    one = parts[0].withColumn("_k", F.lit(1))
+    for x in parts[1:]:
+        one = one.join(x.withColumn("_k", F.lit(1)), "_k")  # one row each
+    return one.select((F.col("c0") - F.col("c1")).alias("curriculums_removed"), (F.col("i0") - F.col("i1")).alias("items_removed"))
+
+
+@query("join8_edition", f"with {CURR} select q.id, coalesce(c.compulsory, '') as category_compulsory, coalesce(c.chapter, '') as category_chapter, coalesce(c.knowledge, '') as category_knowledge from questions q left join curr c on c.question_id = q.id and c.version_code = 'B'")
+def join8_edition(spark: SparkSession, d: str) -> DataFrame:
+    q = repair.with_edition(table(spark, d, "questions"), table(spark, d, "question_curriculums"), "B")
+    return q.select("id", "category_compulsory", "category_chapter", "category_knowledge")
+
+
+@query(
+    "join14_membership",
+    "select c.id, case when t.knowledge is not null then c.knowledge else '' end as knowledge from question_curriculums c left join (select distinct version_code, book, chapter, knowledge from curriculum_tree) t on t.version_code = c.version_code and t.book = c.compulsory and t.chapter = c.chapter and t.knowledge = c.knowledge",
+)
+def join14_membership(spark: SparkSession, d: str) -> DataFrame:
+    """JOIN14, UPD2: knowledge that is no leaf of its chapter is blanked."""
+    return repair.without_stale_leaves(table(spark, d, "question_curriculums"), table(spark, d, "curriculum_tree")).select("id", "knowledge")
+
+
+@query(
+    "join15_hierarchy",
+    """with t as (select book, chapter, knowledge, min(book_ord * 1000000 + chapter_ord * 1000 + leaf_ord) as ord from curriculum_tree where version_code = 'A' group by 1, 2, 3),
+    q as (select distinct category_compulsory as book, category_chapter as chapter, category_knowledge as knowledge from questions where category_compulsory <> '' and category_chapter <> '' and category_knowledge <> '')
+    select book, chapter, knowledge, cast(ord as bigint) as ord from t union all select q.*, null as ord from q where not exists (select 1 from t where t.book = q.book and t.chapter = q.chapter and t.knowledge = q.knowledge)""",
+)
+def join15_hierarchy(spark: SparkSession, d: str) -> DataFrame:
+    """The predefined tree, completed by the triples in use; the tree keeps its order, others have none."""
+    t = table(spark, d, "curriculum_tree").filter("version_code = 'A'")
+    t = t.groupBy("book", "chapter", "knowledge").agg(F.min(F.expr("cast(book_ord as bigint) * 1000000 + chapter_ord * 1000 + leaf_ord")).alias("ord"))
+    q = table(spark, d, "questions").select(F.col("category_compulsory").alias("book"), F.col("category_chapter").alias("chapter"), F.col("category_knowledge").alias("knowledge"))
+    q = q.filter("book != '' and chapter != '' and knowledge != ''").distinct().join(t, ["book", "chapter", "knowledge"], "left_anti")
+    return t.unionByName(q.withColumn("ord", F.lit(None).cast("long")))
+
+
+@query("int1_orphans", "select 'question_curriculums' as name, id from question_curriculums where question_id not in (select id from questions) union all select 'paper_questions' as name, id from paper_questions where question_id not in (select id from questions) or paper_id not in (select id from papers)")
+def int1_orphans(spark: SparkSession, d: str) -> DataFrame:
+    q, p, c, i = (table(spark, d, x) for x in ("questions", "papers", "question_curriculums", "paper_questions"))
+    a = repair.orphans(c, "question_id", q).select(F.lit("question_curriculums").alias("name"), "id")
+    b = repair.orphans(i, "question_id", q).select("id").union(repair.orphans(i, "paper_id", p).select("id")).distinct()
+    return a.unionByName(b.select(F.lit("paper_questions").alias("name"), "id"))
+
+
+@query("int3_bad_image_json", "select id from questions where coalesce(image_paths, '') <> '' and not case when json_valid(image_paths) then json_type(image_paths) = 'ARRAY' else false end")
+def int3_bad_image_json(spark: SparkSession, d: str) -> DataFrame:
+    """Values that are no JSON array fail a snapshot, unlike when they are shown."""
+    bad = ~blank(F.col("image_paths")) & F.from_json("image_paths", "array<string>").isNull()
+    return table(spark, d, "questions").filter(bad).select("id")
+
+
+@query(
+    "int5_rejected_papers",
+    """with per as (select pq.paper_id, count(*) as n, count(distinct pq.question_id) as different, count(*) filter (where q.id is null) as unknown, count(*) filter (where not pq.score between 0 and 100) as range_ from paper_questions pq left join questions q on q.id = pq.question_id group by 1)
+    select paper_id, 'too_many' as problem from per where n > 200 union all select paper_id, 'repeated' from per where different < n union all select paper_id, 'unknown' from per where unknown > 0 union all select paper_id, 'range' from per where range_ > 0""",
+)
+def int5_rejected_papers(spark: SparkSession, d: str) -> DataFrame:
+    return repair.rejected_items(table(spark, d, "paper_questions"), table(spark, d, "questions"))
+
+
+@query("int6_metadata", "select id, case when json_valid(metadata_json) then json_type(metadata_json) = 'OBJECT' else false end as is_object from papers where metadata_json is not null")
+def int6_metadata(spark: SparkSession, d: str) -> DataFrame:
+    """Whether the metadata document is a JSON object."""
+    ok = F.from_json("metadata_json", "map<string, string>").isNotNull()
+    return table(spark, d, "papers").filter("metadata_json is not null").select("id", ok.alias("is_object"))
+
+
+RENAMED = {"必修上册": "必修第一册", "必修下册": "必修第二册"}
+
+
+@query("upd1_renamed", "select id, case category_compulsory when '必修上册' then '必修第一册' when '必修下册' then '必修第二册' else category_compulsory end as book from questions")
+def upd1_renamed(spark: SparkSession, d: str) -> DataFrame:
+    names = F.create_map(*[F.lit(x) for pair in RENAMED.items() for x in pair])
+    return table(spark, d, "questions").select("id", F.coalesce(F.try_element_at(names, "category_compulsory"), "category_compulsory").alias("book"))
+
+
+@query(
+    "upd3_edition_switch",
+    f"""with {CURR}, b as (select distinct question_id from curr where version_code = 'B' and chapter <> ''),
+    s as (select q.id, case when contains(q.category_chapter, '数列') then '第三章 等差等比与求和' when contains(q.category_chapter, '概率') and not contains(q.category_chapter, '统计') then '第六章 古典概型研究' when contains(q.category_chapter, '向量') then '第十章 向量运算与坐标' else '第十二章 函数性质探究' end as chapter
+      from questions q where coalesce(q.category_chapter, '') <> '' and q.id not in (select question_id from b))
+    select id as question_id, chapter from s""",
+)
+def upd3_edition_switch(spark: SparkSession, d: str) -> DataFrame:
+    """UPD3, SCA45: mappings to add on a change of edition, by the first rule whose words occur and whose others don't."""
+    rules = [(("数列",), (), "第三章 等差等比与求和"), (("概率",), ("统计",), "第六章 古典概型研究"), (("向量",), (), "第十章 向量运算与坐标")]
+    q, c = table(spark, d, "questions"), table(spark, d, "question_curriculums")
+    there = repair.clean_curriculums(c, q).filter("version_code = 'B' and chapter != ''").select(F.col("question_id").alias("id"))
+    missing = q.filter("coalesce(category_chapter, '') != ''").join(there, "id", "left_anti")
+    target = F.lit("第十二章 函数性质探究")
+    for words, without, chapter in reversed(rules):
+        ok = F.lit(True)
+        for w in words:
+            ok = ok & F.contains("category_chapter", F.lit(w))
+        for w in without:
+            ok = ok & ~F.contains("category_chapter", F.lit(w))
+        target = F.when(ok, F.lit(chapter)).otherwise(target)
+    return missing.select(F.col("id").alias("question_id"), target.alias("chapter"))
+
+
+@query("upd5_leaf_default", "select id, case when coalesce(category_knowledge, '') = '' and coalesce(category_chapter, '') <> '' then category_chapter else category_knowledge end as knowledge from questions")
+def upd5_leaf_default(spark: SparkSession, d: str) -> DataFrame:
+    k = F.when(blank(F.col("category_knowledge")) & ~blank(F.col("category_chapter")), F.col("category_chapter")).otherwise(F.col("category_knowledge"))
+    return table(spark, d, "questions").select("id", k.alias("knowledge"))
+
+
+@query("upd7_align", "select id, case when figure_align in ('right', 'center', 'bottom_right') then figure_align else 'right' end as figure_align from questions")
+def upd7_align(spark: SparkSession, d: str) -> DataFrame:
+    a = F.col("figure_align")
+    return table(spark, d, "questions").select("id", F.when(a.isin("right", "center", "bottom_right"), a).otherwise(F.lit("right")).alias("figure_align"))
+
+
+@query(
+    "txn3_deleted",
+    """with gone as (select id from questions where difficulty is null), rest as (select * from paper_questions where question_id not in (select id from gone))
+    select p.id, cast(coalesce(sum(r.score), 0) as bigint) as total, count(r.id) as n_items from papers p left join rest r on r.paper_id = p.id where p.id in (select paper_id from paper_questions where question_id in (select id from gone)) group by 1""",
+)
+def txn3_deleted(spark: SparkSession, d: str) -> DataFrame:
+    """TXN3: papers touched by deleting questions, with their totals and items afterwards."""
+    gone = table(spark, d, "questions").filter("difficulty is null").select(F.col("id").alias("question_id"), F.lit(True).alias("gone"))
+    marked = table(spark, d, "paper_questions").join(gone, "question_id", "left")
+    per = marked.groupBy(F.col("paper_id").alias("id")).agg(
+        F.max("gone").alias("hit"), F.sum(F.when(F.col("gone").isNull(), F.col("score"))).alias("s"), F.count_if(F.col("gone").isNull()).alias("n_items")
+    )
+    kept = per.filter("hit").join(table(spark, d, "papers").select("id"), "id", "left_semi")
+    return kept.select("id", F.coalesce("s", F.lit(0)).cast("long").alias("total"), "n_items")
+
+
+@query(
+    "txn4_associated",
+    """with recursive g as (select id, association_group_id as g from questions where coalesce(association_group_id, '') <> ''),
+    e as (select id as a, min(id) over (partition by g) as b from g union all select id as a, question_id as b from (select distinct pq1.question_id as id, pq2.question_id from paper_questions pq1 join paper_questions pq2 on pq1.paper_id = pq2.paper_id and pq2.order_index = 2 where pq1.order_index = 1 and pq1.paper_id % 7 = 0)),
+    u as (select a, b from e where a <> b union select b, a from e where a <> b),
+    r as (select a as node, a as root from u union select u.b, r.root from r join u on u.a = r.node)
+    select node as id, min(root) as group_id from r group by 1""",
+)
+def txn4_associated(spark: SparkSession, d: str) -> DataFrame:
+    """TXN4: association groups after linking the first and the second item of every seventh paper."""
+    pq = table(spark, d, "paper_questions").filter("paper_id % 7 = 0")
+    first = pq.filter("order_index = 1").select("paper_id", F.col("question_id").alias("a"))
+    second = pq.filter("order_index = 2").select("paper_id", F.col("question_id").alias("b"))
+    return repair.associate(table(spark, d, "questions"), first.join(second, "paper_id").select("a", "b").distinct())
+
+
+@query(
+    "txn5_dissociated",
+    """with m as (select id, case when usage_count > 12 then '' else coalesce(association_group_id, '') end as g from questions), n as (select g, count(*) as n from m where g <> '' group by 1)
+    select m.id, case when n.n > 1 then m.g else '' end as association_group_id from m left join n on n.g = m.g""",
+)
+def txn5_dissociated(spark: SparkSession, d: str) -> DataFrame:
+    q = table(spark, d, "questions")
+    return repair.dissociate(q, q.filter("usage_count > 12").select("id"))
+
+
+@query("set1_images_removed", "select id, len(list_distinct(list_filter(from_json(image_paths, '[\"VARCHAR\"]'), lambda x: not contains(x, '1')))) as n from questions where json_valid(image_paths) and json_type(image_paths) = 'ARRAY'")
+def set1_images_removed(spark: SparkSession, d: str) -> DataFrame:
+    """SET1: paths of the old list that are not in the new one, here the new one being those with a 1 in them."""
+    old = F.from_json("image_paths", "array<string>")
+    q = table(spark, d, "questions").select("id", old.alias("old")).filter("old is not null")
+    return q.select("id", F.size(F.array_except("old", F.filter("old", lambda x: F.contains(x, F.lit("1"))))).cast("long").alias("n"))
+
+
+@query("set3_same_sets", "with a as (select distinct question_id from paper_questions where question_id in (select id from questions)), b as (select id as question_id from questions where id in (select question_id from paper_questions)) select count(*) = 0 as same from (select * from a except select * from b union all (select * from b except select * from a))")
+def set3_same_sets(spark: SparkSession, d: str) -> DataFrame:
+    """SET3, INT2: two collections hold the same, by differences either way."""
+    q = table(spark, d, "questions").select(F.col("id").alias("question_id"))
+    used = table(spark, d, "paper_questions").select("question_id").distinct()
+    a, b = used.join(q, "question_id", "left_semi"), q.join(used, "question_id", "left_semi")
+    return a.exceptAll(b).unionAll(b.exceptAll(a)).agg((F.count(F.lit(1)) == 0).alias("same"))
