@@ -1 +1,195 @@
-"""Queries."""
+"""Queries of the text functions over stems, answers and titles."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tessella.functions import latex
+from tessella.registry import query
+from tessella.sources.tables import table
+
+STRIP = r"regexp_replace({c}, '^[\s\p{{Z}}]+|[\s\p{{Z}}]+$', '', 'g')"
+
+
+def q(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "questions")
+
+
+@query(
+    "sca1_gap_macro",
+    r"""select id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace(content, '\fillin', '\underline{x}____'), '_{3,}', '\\fillin', 'g'), '\\fillin\s*\[[^\]]*\](\[[^\]]*\])?', '\\fillin', 'g'), '\\underline\s*\{[^}]*\}', '\\fillin', 'g'), '\\fillin\}', '\\fillin', 'g') as content from questions where contains(content, '\fillin')""",
+)
+def sca1_gap_macro(spark: SparkSession, d: str) -> DataFrame:
+    raw = F.replace("content", F.lit("\\fillin"), F.lit("\\underline{x}____"))
+    return q(spark, d).filter(F.contains("content", F.lit("\\fillin"))).select("id", latex.fill_in_macro(raw).alias("content"))
+
+
+@query("sca2_structured_form", r"""select id, case when regexp_matches(content, '(?i)\\begin\s*\{\s*choices\s*\}') then 'choice' when regexp_matches(content, '(?i)\\fillin([^0-9A-Za-z_\p{L}\p{N}]|$)') then 'fill_in_blank' end as form from questions""")
+def sca2_structured_form(spark: SparkSession, d: str) -> DataFrame:
+    return q(spark, d).select("id", latex.structured_form(F.col("content")).alias("form"))
+
+
+@query("sca3_named_form", "select question_type, case when lower(trim(question_type)) in ('choice','choice_question','single_choice','multi_choice','选择题','单选题','多选题') then 'choice' when lower(trim(question_type)) in ('fill_in_blank','fill-in-blank','填空题') then 'fill_in_blank' when lower(trim(question_type)) in ('detailed_answer','解答题') then 'detailed_answer' else 'unknown' end as form, count(*) as n from questions group by 1, 2")
+def sca3_named_form(spark: SparkSession, d: str) -> DataFrame:
+    return q(spark, d).groupBy("question_type", latex.named_form(F.col("question_type")).alias("form")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    "sca4_choice_stem",
+    rf"""with s as (select id, {STRIP.format(c=r"regexp_replace(" + STRIP.format(c="split_part(content, chr(10), 1)") + r", '([\s\x{A0}\x{3000}]*[(（]\s*(\\quad|\\qquad|\\hspace\{[^{}]*\}|[\s\x{A0}\x{3000}_])*\s*[)）])+[\s\x{A0}\x{3000}]*$', '')")} as s from questions where contains(content, '（　　）'))
+    select id, case when (length(s) - length(replace(s, '$', ''))) % 2 = 0 then s else s || '$' end as stem from s""",
+)
+def sca4_choice_stem(spark: SparkSession, d: str) -> DataFrame:
+    line = F.split("content", "\n")[0]
+    return q(spark, d).filter(F.contains("content", F.lit("（　　）"))).select("id", latex.choice_stem(line).alias("stem"))
+
+
+@query("sca6_paragraphs")
+def sca6_paragraphs(spark: SparkSession, d: str) -> DataFrame:
+    return q(spark, d).select("id", latex.stem_paragraphs(F.col("content")).alias("content"))
+
+
+@query("sca8_markdown")
+def sca8_markdown(spark: SparkSession, d: str) -> DataFrame:
+    return q(spark, d).select("id", latex.to_markdown(F.col("content")).alias("content"))
+
+
+@query("sca9_subquestions")
+def sca9_subquestions(spark: SparkSession, d: str) -> DataFrame:
+    return q(spark, d).select("id", latex.subquestion_paragraphs(F.col("content")).alias("content"))
+
+
+@query("sca10_literal_breaks")
+def sca10_literal_breaks(spark: SparkSession, d: str) -> DataFrame:
+    return q(spark, d).select("id", latex.literal_breaks(F.replace("content", F.lit("\n"), F.lit("\\n"))).alias("content"))
+
+
+@query("sca11_source_prefix", r"select id, regexp_extract(coalesce(content, ''), '^(\s*(\d+[.、\s]*)?)([(（])([^(（)）\s]{4,})([)）])', 4) as source from questions")
+def sca11_source_prefix(spark: SparkSession, d: str) -> DataFrame:
+    return q(spark, d).select("id", latex.source_prefix(F.col("content")).alias("source"))
+
+
+@query("sca12_title", r"select id, left(trim(title), 60) as title from papers where title is not null")
+def sca12_title(spark: SparkSession, d: str) -> DataFrame:
+    doc = F.concat(F.lit("\\documentclass{article}\n\\title{\\bfseries "), F.col("title"), F.lit("}\n\\begin{center}x\\end{center}"))
+    return table(spark, d, "papers").filter("title is not null").select("id", latex.latex_title(doc).alias("title"))
+
+
+@query("sca19_page_range", "select id, list_sort(list_distinct(list_concat(range(0, 2), range(cast(id % 5 as integer) + 1, cast(id % 5 as integer) + 4)))) as pages from papers")
+def sca19_page_range(spark: SparkSession, d: str) -> DataFrame:
+    first = (F.col("id") % 5).cast("int") + 2
+    text = F.concat(F.lit("1-2, "), first.cast("string"), F.lit("-"), (first + 2).cast("string"))
+    pages = latex.page_range(text, F.lit(20))
+    return table(spark, d, "papers").select("id", F.transform(pages, lambda x: x.cast("long")).alias("pages"))
+
+
+@query("sca20_version", "select id, 2 as major, cast(id % 10 as integer) as minor, cast(id % 3 as integer) as patch from papers")
+def sca20_version(spark: SparkSession, d: str) -> DataFrame:
+    v = F.concat(F.lit("v2."), (F.col("id") % 10).cast("string"), F.lit("."), (F.col("id") % 3).cast("string"), F.lit("-beta+7"))
+    return table(spark, d, "papers").select("id", latex.version_tuple(v).alias("v")).select("id", "v.*")
+
+
+@query("sca23_token_estimate", r"with c as (select id, length(content) as n, length(regexp_replace(content, '[^\x{4E00}-\x{9FFF}\x{3000}-\x{303F}\x{FF00}-\x{FFEF}]', '', 'g')) as cjk from questions) select id, greatest(1, cast(floor(cjk * 1.2::double + (n - cjk) / 4.0::double + 0.99::double) as bigint)) as n_tokens from c")
+def sca23_token_estimate(spark: SparkSession, d: str) -> DataFrame:
+    return q(spark, d).select("id", latex.token_estimate(F.col("content")).alias("n_tokens"))
+
+
+@query("sca24_date", "select id, coalesce(strftime(created_at, '%Y年') || month(created_at) || '月' || day(created_at) || '日 ' || hour(created_at) || '时' || minute(created_at) || '分', '未知时间') as created from papers")
+def sca24_date(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "papers").select("id", latex.chinese_date(F.col("created_at")).alias("created"))
+
+
+LABELS = {"single_choice": "单选题", "multi_choice": "多选题", "fill_in_blank": "填空题", "detailed_answer": "解答题"}
+
+
+@query("sca25_labels", "select id, case question_type when 'single_choice' then '单选题' when 'multi_choice' then '多选题' when 'fill_in_blank' then '填空题' when 'detailed_answer' then '解答题' else question_type end as label from questions")
+def sca25_labels(spark: SparkSession, d: str) -> DataFrame:
+    names = F.create_map(*[F.lit(x) for p in LABELS.items() for x in p])
+    return q(spark, d).select("id", F.coalesce(F.try_element_at(names, "question_type"), "question_type").alias("label"))
+
+
+@query("sca36_formulas")
+def sca36_formulas(spark: SparkSession, d: str) -> DataFrame:
+    """The different formulas of every stem, without signs and style commands."""
+    found = F.regexp_extract_all("content", F.lit(r"\$([^$]+)\$"), F.lit(1))
+    return q(spark, d).select("id", F.array_distinct(F.transform(found, latex.formula)).alias("formulas"))
+
+
+@query("sca34_plain_text")
+def sca34_plain_text(spark: SparkSession, d: str) -> DataFrame:
+    return q(spark, d).select("id", latex.plain_text(F.col("content")).alias("text"))
+
+
+@query("agg15_formula_counts", r"select id, len(list_distinct(regexp_extract_all(content, '\$([^$]+)\$', 1))) as n_formulas from questions")
+def agg15_formula_counts(spark: SparkSession, d: str) -> DataFrame:
+    """AGG15: different formulas of a stem."""
+    found = F.regexp_extract_all("content", F.lit(r"\$([^$]+)\$"), F.lit(1))
+    return q(spark, d).select("id", F.size(F.array_distinct(found)).cast("long").alias("n_formulas"))
+
+
+@query("sca37_figures", r"select id, list_distinct(regexp_extract_all(content, '!\[[^\]]*\]\(([^)\s]+)[^)]*\)', 1)) as figures from questions where contains(content, '![') and len(regexp_extract_all(content, '!\[[^\]]*\]\(([^)\s]+)[^)]*\)', 1)) = 1")
+def sca37_figures(spark: SparkSession, d: str) -> DataFrame:
+    f = latex.figures(F.col("content"))
+    return q(spark, d).filter(F.contains("content", F.lit("!["))).select("id", f.alias("figures")).filter(F.size("figures") == 1)
+
+
+@query("sca38_align", "select p.id, q.id as question_id, case when p.paper_type = 'quiz' then 'bottom_right' when q.id % 3 > 1 and q.figure_align = 'right' then 'center' else q.figure_align end as align from papers p join paper_questions pq on pq.paper_id = p.id join questions q on q.id = pq.question_id where pq.order_index = 1")
+def sca38_align(spark: SparkSession, d: str) -> DataFrame:
+    pq = table(spark, d, "paper_questions").filter("order_index = 1").select("paper_id", "question_id")
+    both = pq.join(table(spark, d, "papers").select(F.col("id").alias("paper_id"), "paper_type"), "paper_id").join(q(spark, d).select(F.col("id").alias("question_id"), "figure_align"), "question_id")
+    return both.select(F.col("paper_id").alias("id"), "question_id", latex.figure_align(F.col("figure_align"), F.col("paper_type"), F.col("question_id") % 3).alias("align"))
+
+
+@query("sca39_space", "select id, case when figure_align in ('center', 'bottom_right') then round(greatest(usage_count / 2.0::double - 3.2::double, 0.5::double), 1) else round(usage_count / 2.0::double, 1) end as space from questions where usage_count is not null")
+def sca39_space(spark: SparkSession, d: str) -> DataFrame:
+    return q(spark, d).filter("usage_count is not null").select("id", latex.net_space(F.col("usage_count") / 2.0, F.coalesce("figure_align", F.lit(""))).alias("space"))
+
+
+@query("sca42_effort", "select id, 'model-' || id as model, case when id % 2 = 0 then 'high' end as effort from papers")
+def sca42_effort(spark: SparkSession, d: str) -> DataFrame:
+    m = F.concat(F.lit("model-"), F.col("id").cast("string"), F.when(F.col("id") % 4 == 0, F.lit("(High)")).when(F.col("id") % 2 == 0, F.lit(": high")).otherwise(F.lit("")))
+    return table(spark, d, "papers").select("id", latex.model_and_effort(m).alias("m")).select("id", "m.*")
+
+
+@query("sca44_assets", "with p as (select id, unnest(from_json(image_paths, '[\"VARCHAR\"]')) as path from questions where case when json_valid(image_paths) then json_type(image_paths) = 'ARRAY' else false end) select id, ltrim(path, '/') as path from p where not contains(path, '?')")
+def sca44_assets(spark: SparkSession, d: str) -> DataFrame:
+    p = q(spark, d).select("id", F.explode(F.from_json("image_paths", "array<string>")).alias("path")).select("id", latex.safe_asset(F.col("path")).alias("path"))
+    return p.filter("path is not null")
+
+
+@query("sca48_envelope", "select id, '{\"id\": ' || id || ', \"tags\": []}' as body from papers")
+def sca48_envelope(spark: SparkSession, d: str) -> DataFrame:
+    said = F.concat(F.lit("```json\nHere: {\"id\": "), F.col("id").cast("string"), F.lit(", \"tags\": []} done\n```"))
+    return table(spark, d, "papers").select("id", latex.json_envelope(said).alias("body"))
+
+
+@query("sca52_gated_answers", "select id, case when contains(answer_markdown, '[EXTRACTED_ORIGINAL]') then trim(replace(answer_markdown, '[EXTRACTED_ORIGINAL]', '')) else '' end as answer from questions where answer_markdown is not null")
+def sca52_gated_answers(spark: SparkSession, d: str) -> DataFrame:
+    return q(spark, d).filter("answer_markdown is not null").select("id", latex.gated_answer(F.col("answer_markdown")).alias("answer"))
+
+
+@query("sca53_file_names", r"""select id, case when trim(regexp_replace(coalesce(title, ''), '[/\\?%*:|"<>]', '_', 'g')) = '' then 'paper' else trim(regexp_replace(coalesce(title, ''), '[/\\?%*:|"<>]', '_', 'g')) end as name from papers""")
+def sca53_file_names(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "papers").select("id", latex.file_name(F.col("title")).alias("name"))
+
+
+@query("sca55_crops", "select id, cast(floor(cast(id % 40 as double) / 100 * 1000) as integer) as x0, cast(floor(cast(id % 40 + 50 as double) / 100 * 1000) as integer) as x1 from papers")
+def sca55_crops(spark: SparkSession, d: str) -> DataFrame:
+    a = (F.col("id") % 40).cast("double")
+    return table(spark, d, "papers").select("id", latex.crop_box(a, a, a + 50, a + 50, F.lit(1000), F.lit(800)).alias("c")).select("id", "c.x0", "c.x1")
+
+
+@query("sca56_hashes", "select id, sha256(content) as sha, md5(content) as md5 from questions")
+def sca56_hashes(spark: SparkSession, d: str) -> DataFrame:
+    return q(spark, d).select("id", F.sha2("content", 256).alias("sha"), F.md5("content").alias("md5"))
+
+
+@query("sca57_balanced", r"select id, length(replace(regexp_replace(content, '\\[{}]', '', 'g'), '{', '')) = length(replace(regexp_replace(content, '\\[{}]', '', 'g'), '}', '')) as balanced from questions")
+def sca57_balanced(spark: SparkSession, d: str) -> DataFrame:
+    return q(spark, d).select("id", latex.balanced(F.col("content")).alias("balanced"))
+
+
+@query("sca58_escaped", r"select id, replace(replace(replace(source, '%', '\%'), '&', '\&'), '_', '\_') as source from questions where source is not null")
+def sca58_escaped(spark: SparkSession, d: str) -> DataFrame:
+    return q(spark, d).filter("source is not null").select("id", latex.escaped_text(F.col("source")).alias("source"))
