@@ -5,9 +5,9 @@ table of combining classes in broadcast joins (both tables are bounded by Unicod
 within their cluster, composed again, and the strings are rebuilt.
 
 Most texts hold no combining mark and no code point that stands for several ones. For them the exploded form is
-a plain replacement of code points, which ``translate`` does in place with the same table; only the distinct
-texts that need ordering, composing or expanding are exploded and regrouped. ``explode_all=True`` sends every text
-through the exploded path; both give the same result (tested).
+a plain replacement of code points, which ``translate`` does in place with the same table. Of the others only the
+stretches that need ordering, composing or expanding are exploded, each different one once. ``explode_all=True`` sends
+every text as a whole through the exploded path; both give the same result (tested).
 
 Nulls stay null, empty texts stay empty, equal texts get equal forms, and other columns are passed through.
 """
@@ -19,10 +19,9 @@ from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tessella.llm import forms
-from tessella.operators.pairs import pairs_within
+from tessella.operators.pairs import pairs_within, small_side
 from tessella.plans.lineage import cut
 
 
@@ -114,18 +113,48 @@ def exploded_form(texts: DataFrame, key: str, text: str, out: str) -> DataFrame:
     return clusters.groupBy(key).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("cluster", "s"))), lambda x: x["s"]), "").alias(out))
 
 
+def _stretches() -> str:
+    """Pattern of a character and the code points behind it that need exploding; what stands between is independent."""
+    return rf"(?s).?(?:{_needs_explode()})+"
+
+
 def common_form(df: DataFrame, text: str, out: str, explode_all: bool = False) -> DataFrame:
-    """``df`` with the common form of ``text`` in column ``out``."""
-    needs = F.lit(True) if explode_all else F.coalesce(F.col(text).rlike(_needs_explode()), F.lit(False))
-    plain = df.filter(~needs).withColumn(out, _replaced(F.col(text)))
-    rest = df.filter(needs & F.col(text).isNotNull()).withColumn("_form_key", F.md5(text))
-    distinct = rest.groupBy("_form_key").agg(F.min(text).alias("_form_text"))
-    made = exploded_form(distinct, "_form_key", "_form_text", "_form_out")
-    slow = rest.join(made, "_form_key", "left").withColumn(out, F.coalesce("_form_out", F.lit(""))).select(*df.columns, out)
-    both = plain.select(*df.columns, out).unionByName(slow)
+    """``df`` with the common form of ``text`` in column ``out``.
+
+    Of texts that need it, the stretches around combining marks and the like are exploded, each different stretch once,
+    and put back at their places.
+    """
+    c = F.replace(F.col(text), F.lit("\r\n"), F.lit("\n"))
     if explode_all:
-        both = both.unionByName(df.filter(F.col(text).isNull()).withColumn(out, F.lit(None).cast(T.StringType())))
-    return both
+        keyed = df.withColumn("_form_key", F.md5(text))
+        distinct = keyed.filter(F.col(text).isNotNull()).groupBy("_form_key").agg(F.min(text).alias("_form_text"))
+        made = exploded_form(distinct, "_form_key", "_form_text", "_form_out")
+        return keyed.join(made, "_form_key", "left").withColumn(out, F.when(F.col(text).isNotNull(), F.coalesce("_form_out", F.lit("")))).select(*df.columns, out)
+    needs = F.coalesce(F.col(text).rlike(_needs_explode()), F.lit(False))
+    plain = df.filter(~needs).withColumn(out, _replaced(F.col(text)))
+    rest = df.filter(needs).withColumn("_form_key", F.md5(text))
+    found = rest.groupBy("_form_key").agg(F.min(c).alias("_t")).select("_form_key", F.regexp_extract_all("_t", F.lit(_stretches()), F.lit(0)).alias("_s"))
+    placed = found.select("_form_key", F.posexplode("_s").alias("_pos", "_stretch"))
+    made = cut(exploded_form(placed.select("_stretch").distinct(), "_stretch", "_stretch", "_made"))
+    placed = placed.join(small_side(made, made.count()), "_stretch", "left")
+    made_of = placed.groupBy("_form_key").agg(F.transform(F.sort_array(F.collect_list(F.struct("_pos", F.coalesce("_made", F.lit("")).alias("f")))), lambda x: x["f"]).alias("_forms"))
+    between = F.transform(F.split(c, _stretches()), lambda p, k: F.concat(_replaced(p), F.coalesce(F.try_element_at(F.col("_forms"), k + 1), F.lit(""))))
+    slow = rest.join(made_of, "_form_key").withColumn(out, F.array_join(between, "")).select(*df.columns, out)
+    return plain.select(*df.columns, out).unionByName(slow)
+
+
+def letters_form(df: DataFrame, text: str, out: str) -> DataFrame:
+    """``df`` with the letters and digits of the common form of ``text``, in lower case, in column ``out``.
+
+    The same as filtering ``common_form``; texts that need no exploding and have no characters beyond the basic plane
+    take one replacement.
+    """
+    frm, to = forms.letters_map()
+    c = F.col(text)
+    whole = F.coalesce(c.rlike(_needs_explode()) | c.rlike(r"[\x{10000}-\x{10FFFF}İ]"), F.lit(False))
+    plain = df.filter(~whole).withColumn(out, F.translate(c, frm, to))
+    rest = common_form(df.filter(whole), text, out).withColumn(out, F.regexp_replace(F.lower(out), r"[^\p{L}\p{N}]+", ""))
+    return plain.unionByName(rest)
 
 
 def print_alike_pairs(df: DataFrame, key: str = "id", text: str = "content") -> DataFrame:
