@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def running_before(df: DataFrame, keys: list[str], chunk: str, order: list[str], value: Column, out: str) -> DataFrame:
+def running_before(df: DataFrame, keys: list[str], chunk: str, order: list, value: Column, out: str) -> DataFrame:
     """``df`` with the sum of ``value`` over the rows of the same ``keys`` that come before, in column ``out``.
 
     Rows are in order of ``chunk`` and then of ``order``; a chunk is a bounded stretch of a group. Sums per chunk are

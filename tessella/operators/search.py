@@ -23,6 +23,14 @@ def with_ordinal(df: DataFrame, key: str = "id", out: str = "seq_num") -> DataFr
     return running_before(chunked, [], "_chunk", [key], F.lit(1), out).withColumn(out, F.col(out) + 1).drop("_chunk")
 
 
+def with_time_place(df: DataFrame, descending: bool, out: str = "place") -> DataFrame:
+    """The place of every row by creation time and id, nulls lowest, counted in chunks of one day."""
+    day = F.coalesce(F.datediff(F.to_date("created_at"), F.lit("1970-01-01")), F.lit(-(1 << 30)))
+    chunked = df.withColumn("_chunk", -day if descending else day)
+    order = in_order("desc" if descending else "asc")
+    return running_before(chunked, [], "_chunk", order, F.lit(1), out).withColumn(out, F.col(out) + 1).drop("_chunk")
+
+
 @dataclass(frozen=True)
 class Filters:
     """Equality filters; an empty value filters nothing."""

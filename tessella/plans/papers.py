@@ -193,8 +193,8 @@ def top3_topics(spark: SparkSession, d: str) -> DataFrame:
 
 @query("top5_papers", "select id, title, row_number() over (order by created_at desc nulls last, id desc) as place from papers")
 def top5_papers(spark: SparkSession, d: str) -> DataFrame:
-    """Papers by age with the id as tie-break; papers are numbered by a global order."""
-    return table(spark, d, "papers").select("id", "title", F.row_number().over(Window.orderBy(F.col("created_at").desc_nulls_last(), F.desc("id"))).alias("place"))
+    """Papers by age, newest first, with the id as tie-break."""
+    return search.with_time_place(table(spark, d, "papers").select("id", "title", "created_at"), descending=True).select("id", "title", "place")
 
 
 @query("upd6_usage_delta", "with s as (select question_id, count(*) as k from paper_questions where paper_id = 7 group by 1) select q.id, case when coalesce(q.usage_count, 0) = 0 then q.usage_count else greatest(0, q.usage_count - s.k) end as usage_count from questions q join s on s.question_id = q.id")

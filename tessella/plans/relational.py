@@ -133,10 +133,10 @@ def fil14_selection(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "questions").agg(F.count_if(checked & unsaved).alias("chosen_unsaved"), F.count_if(~checked).alias("inverted"), F.count(F.lit(1)).alias("all_rows"))
 
 
-@query("srt1_order", "select id, created_at, row_number() over (order by created_at asc nulls first, id asc) as place from questions order by created_at asc nulls first, id asc limit 200")
+@query("srt1_order", "select id, created_at, row_number() over (order by created_at asc nulls first, id asc) as place from questions")
 def srt1_order(spark: SparkSession, d: str) -> DataFrame:
-    first = table(spark, d, "questions").select("id", "created_at").orderBy(*search.in_order("asc")).limit(200)
-    return first.withColumn("place", F.row_number().over(Window.orderBy(*search.in_order("asc"))))
+    """SRT1: the place of every question by age, whatever the size of the table."""
+    return search.with_time_place(table(spark, d, "questions").select("id", "created_at"), descending=False)
 
 
 @query(

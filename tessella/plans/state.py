@@ -1 +1,100 @@
-"""Queries."""
+"""Queries over event logs and snapshots, and the parsers over whole tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tessella.functions import parsers
+from tessella.registry import query
+from tessella.sources.snapshots import digest
+from tessella.sources.tables import table
+from tessella.streaming import tasks
+
+KIND = "case event_type when 'purchase' then 'completed' when 'signup' then 'error' when 'logout' then 'cancelled' else event_type end"
+EVENTS = f"e as (select user_id as task_id, event_id as seq, ts, {KIND} as kind, value as progress from events)"
+LIFE = """life as (select task_id, coalesce(t.kind, l.kind) as state, case when t is null then l.progress when t.kind = 'completed' then 100.0 else 0.0 end as progress, coalesce(t.seq, l.seq) as seq, coalesce(t.ts, l.ts) as updated_at from
+  (select task_id, arg_min({'kind': kind, 'seq': seq, 'ts': ts}, seq) filter (where kind in ('completed', 'error', 'cancelled')) as t, arg_max({'kind': kind, 'progress': progress, 'seq': seq, 'ts': ts}, seq) filter (where kind not in ('completed', 'error', 'cancelled')) as l from e group by 1))"""
+
+
+def as_tasks(events: DataFrame) -> DataFrame:
+    """The events table as a task log: users as tasks, two kinds of events closing them."""
+    kind = F.col("event_type")
+    for name, terminal in (("purchase", "completed"), ("signup", "error"), ("logout", "cancelled")):
+        kind = F.when(F.col("event_type") == name, F.lit(terminal)).otherwise(kind)
+    return events.select(F.col("user_id").alias("task_id"), F.col("event_id").alias("seq"), "ts", kind.alias("kind"), F.col("value").alias("progress"))
+
+
+@query("str1_lifecycle", f"with {EVENTS}, {LIFE} select * from life")
+def str1_lifecycle(spark: SparkSession, d: str) -> DataFrame:
+    return tasks.lifecycle(as_tasks(table(spark, d, "events")))
+
+
+@query("str1_stream", f"with {EVENTS}, {LIFE} select * from life")
+def str1_stream(spark: SparkSession, d: str) -> DataFrame:
+    """The lifecycle kept by a stateful stream over the event files."""
+    schema = table(spark, d, "events").schema
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", "*events*").option("recursiveFileLookup", "true").parquet(d)
+    return tasks.replayed(spark, as_tasks(stream))
+
+
+@query("str3_expired", f"with {EVENTS}, {LIFE} select task_id, state, updated_at from life where state in ('completed', 'error', 'cancelled') and (select max(ts) from e) - updated_at >= interval 3600 seconds")
+def str3_expired(spark: SparkSession, d: str) -> DataFrame:
+    log = as_tasks(table(spark, d, "events"))
+    now = F.lit(log.agg(F.max("ts").alias("m")).first().m)
+    return tasks.expired(tasks.lifecycle(log), now).select("task_id", "state", "updated_at")
+
+
+@query("str4_running_totals", "select user_id as request, event_id as seq, sum(cast(floor(value) as bigint)) over (partition by user_id order by event_id) as total from events")
+def str4_running_totals(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "events").select(F.col("user_id").alias("request"), F.col("event_id").alias("seq"), F.floor("value").alias("tokens"), F.lit(None).cast("long").alias("reported"))
+    return tasks.running_totals(e).select("request", "seq", "total")
+
+
+@query(
+    "str6_fallback",
+    "with a as (select user_id as request, event_id as priority, event_type as provider, case when event_id % 11 = 0 then 'timeout' when event_id % 3 = 0 then 'ok' else 'error' end as outcome from events), p as (select request, min(priority) filter (where outcome = 'timeout') as s, min(priority) filter (where outcome = 'ok') as g from a group by 1) select p.request, case when p.s is null or p.g < p.s then a.provider end as provider from p left join a on a.request = p.request and a.priority = p.g",
+)
+def str6_fallback(spark: SparkSession, d: str) -> DataFrame:
+    outcome = F.when(F.col("event_id") % 11 == 0, "timeout").when(F.col("event_id") % 3 == 0, "ok").otherwise("error")
+    a = table(spark, d, "events").select(F.col("user_id").alias("request"), F.col("event_id").alias("priority"), F.col("event_type").alias("provider"), outcome.alias("outcome"))
+    return tasks.first_success(a)
+
+
+@query("snk3_manifest", " union all ".join(f"select '{t}' as name, count(*) as rows from {t}" for t in ("questions", "question_curriculums", "papers", "paper_questions")))
+def snk3_manifest(spark: SparkSession, d: str) -> DataFrame:
+    """AGG12, SNK3: rows of every table of a snapshot; the digests are tested apart."""
+    parts = [digest(table(spark, d, t), t).select("name", "rows") for t in ("questions", "question_curriculums", "papers", "paper_questions")]
+    return parts[0].union(parts[1]).union(parts[2]).union(parts[3])
+
+
+@query("doc9_locked_formulas", r"select id, len(regexp_extract_all(content, '\$[^$]+\$')) as n_locks from questions where not contains(content, '$$') and not contains(content, '\$') and not contains(content, '\[') and not contains(content, '\(') and (length(content) - length(replace(content, '$', ''))) % 2 = 0 and not regexp_matches(content, '\\begin\{(equation|align|gather|aligned|array|cases|[a-zA-Z]?matrix|math)')")
+def doc9_locked_formulas(spark: SparkSession, d: str) -> DataFrame:
+    """DOC9: formulas put under locks, one batch call per Arrow batch."""
+    c = F.col("content")
+    plain = ~F.contains(c, F.lit("$$")) & ~F.contains(c, F.lit("\\$")) & ~F.contains(c, F.lit("\\[")) & ~F.contains(c, F.lit("\\("))
+    plain = plain & (F.regexp_count(c, F.lit(r"\$")) % 2 == 0) & ~c.rlike(r"\\begin\{(?:equation|align|gather|aligned|array|cases|[a-zA-Z]?matrix|math)")
+    q = table(spark, d, "questions").filter(plain).select("id", parsers.lock_formulas("content", F.col("id").cast("string")).alias("l"))
+    return q.select("id", F.size("l.locks").cast("long").alias("n_locks"))
+
+
+@query("sca32_tokens")
+def sca32_tokens(spark: SparkSession, d: str) -> DataFrame:
+    """SCA32: stems as text, formulas and gaps in order."""
+    t = table(spark, d, "questions").select("id", F.posexplode(parsers.tokens("content")).alias("pos", "t"))
+    return t.select("id", "pos", "t.kind", "t.text", "t.display")
+
+
+@query("sca50_model_json")
+def sca50_model_json(spark: SparkSession, d: str) -> DataFrame:
+    """SCA48 to SCA51: stems in a model's envelope with single backslashes and raw line breaks, read again."""
+    said = F.concat(F.lit('```json\n{"questions": [{"content": "'), F.regexp_replace("content", r'["]', "'"), F.lit('"}]}\n```'))
+    q = table(spark, d, "questions").select("id", parsers.canonical_questions(said).alias("j"))
+    return q.select("id", F.from_json("j", "array<struct<content: string>>")[0]["content"].alias("content"))
+
+
+@query("sca18_tex_sources")
+def sca18_tex_sources(spark: SparkSession, d: str) -> DataFrame:
+    """SCA13 to SCA18: every paper's title and first stems as a TeX source, prepared."""
+    head = F.concat(F.lit("\\newcommand{\\R}{\\mathbb{R}}\n\\title{"), F.coalesce("title", F.lit("")), F.lit("}\n\\begin{document}\n% note\n\\question x \\R\n\\end{document}"))
+    return table(spark, d, "papers").select("id", parsers.tex_source(head).alias("t")).select("id", "t.*")
