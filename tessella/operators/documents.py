@@ -48,10 +48,13 @@ def merged(pages: DataFrame) -> DataFrame:
 
 def shingles(c: Column) -> Column:
     """Different sequences of three letters or digits of a text, or the whole of a shorter one."""
-    s = F.regexp_replace(F.coalesce(c, F.lit("")), "[^一-龥a-zA-Z0-9]", "")
-    n = F.length(s)
-    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(n - 2, F.lit(1))), lambda i: F.substring(s, i, F.lit(3))))
-    return F.when(n == 0, F.array().cast("array<string>")).when(n < 3, F.array(s)).otherwise(grams)
+    letters = F.regexp_replace(F.coalesce(c, F.lit("")), "[^一-龥a-zA-Z0-9]", "")
+
+    def of(s: Column) -> Column:
+        grams = F.array_distinct(F.regexp_extract_all(s, F.lit("(?=(.{3}))"), F.lit(1)))
+        return F.when(s == "", F.array().cast("array<string>")).when(F.length(s) < 3, F.array(s)).otherwise(grams)
+
+    return F.transform(F.array(letters), of)[0]  # bound once
 
 
 def attributed(questions: DataFrame, pages: DataFrame) -> DataFrame:

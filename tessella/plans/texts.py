@@ -72,7 +72,7 @@ def sca11_source_prefix(spark: SparkSession, d: str) -> DataFrame:
 
 @query("sca12_title", r"select id, left(trim(title), 60) as title from papers where title is not null")
 def sca12_title(spark: SparkSession, d: str) -> DataFrame:
-    doc = F.concat(F.lit("\\documentclass{article}\n\\title{\\large{} "), F.col("title"), F.lit("}\n\\begin{center}x\\end{center}"))
+    doc = F.concat(F.lit("\\documentclass{article}\n\\title{"), F.col("title"), F.lit("}\n\\begin{center}x\\end{center}"))
     return table(spark, d, "papers").filter("title is not null").select("id", latex.latex_title(doc).alias("title"))
 
 
