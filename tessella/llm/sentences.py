@@ -26,6 +26,8 @@ DOT, BANG, DOTS = TO[0:2], TO[2:7], TO[7]
 ENDS = rf"\x{{{FIRST:X}}}-\x{{{FIRST + len(TERMINATORS) - 1:X}}}"
 #: What may close a unit behind its terminator.
 CLOSERS = r"[”’\"')）\]】」』》〉›»*_]*"
+#: Blanks and invisible characters that may stand before the first word of a unit.
+LEADING = r"[\s\x{FEFF}\x{200B}-\x{200D}\x{2060}]"
 #: Blanks, line ends and characters without a glyph, left out at the ends of a unit.
 INVISIBLE = "".join(c for c in map(chr, range(0xD800)) if unicodedata.category(c) in ("Cc", "Cf", "Zs", "Zl", "Zp")) + "\ufeff" + MASK_BREAK
 
@@ -90,7 +92,7 @@ def masked(df: DataFrame, text: str, out: str) -> DataFrame:
         rf"(?<={word}[zduoiтepc][{dot}{MASK}]\s?(?:B|h|a|ä|d|е|к|g|e|ej).)",
         rf"(?<={word}и т.)(?=\s?[дп]{dot})",
         rf"(?=\s?\p{{Nd}})(?<={word}(?:{MONTHS}|[pSsсст]|fol).)",
-        rf"(?=\s\p{{Lu}}\p{{L}})(?<=(?:^|[{ENDS}”)\n]\s{{0,3}}|\p{{Lu}}\p{{L}}{{0,20}}{dot}?\s|(?<!\p{{L}})(?:{BEFORE_INITIAL})\s)\p{{Lu}}.)",  # initials
+        rf"(?=\s\p{{Lu}}\p{{L}})(?<=(?:^{LEADING}{{0,4}}|[{ENDS}”)\n]{LEADING}{{0,4}}|\p{{Lu}}\p{{L}}{{0,20}}{dot}?\s|(?<!\p{{L}})(?:{BEFORE_INITIAL})\s)\p{{Lu}}.)",  # initials
         rf"(?=\s\p{{Lu}})(?<=(?<!\p{{L}})(?:{GERMAN_BEFORE_ORDINAL})\s\p{{Nd}}{{1,4}}.)",
         rf"(?<=\p{{Nd}}.)(?=\s(?:{GERMAN_MONTHS})\b)",
         r"(?=[)\]”]*\s+\p{Ll})",  # what goes on in lower case
@@ -100,15 +102,15 @@ def masked(df: DataFrame, text: str, out: str) -> DataFrame:
         rf"(?=[{ENDS}])",  # all but the last of a run
         rf"(?<=[\p{{L}}\p{{Nd}}/:][{DOT}{BANG}])(?=[\p{{Ll}}\p{{Nd}}/])",  # versions, URLs
         rf"(?<={dot})(?:{'|'.join(never)})",
-        rf"(?<=[{DOT}])(?=\s)(?<=(?:^|\n\s{{0,3}}\n)\s{{0,4}}\p{{Nd}}{{1,3}}.)",  # numbers of list items
+        rf"(?<=[{DOT}])(?=\s)(?<=(?:^|\n\s{{0,3}}\n){LEADING}{{0,4}}\p{{Nd}}{{1,3}}.)",  # numbers of list items
         rf"(?<=[{BANG}])(?=\s?[”)]\s+\p{{Ll}})",
         rf"(?<={DOTS})(?=(?:{CONNECTIVES_ZH})|[)\]”]*\s+\p{{Ll}})",
     )
     step(F.regexp_replace(m, rf"[{ENDS}](?:{'|'.join(inside)})", MASK))
     # quotations: what is inside, then what reporting words follow
-    quoted = F.regexp_replace(m, rf"[{ENDS}](?:(?=\s?[^“”\s][^“”]{{0,300}}+”)|(?=”“)|(?=\s?”\s?(?:[とってなか]|하고|라고|이라고|라며|고 )))", MASK)
-    start = rf"(“(?<=(?:^|[{ENDS}”\n]\s{{0,3}})“)[^“”]{{1,300}})[{ENDS}]"
-    said = rf"{start}(\s?”(?:[^“”{ENDS}\n]{{0,24}}(?:{SAY_ZH})|\s?(?:\p{{Lu}}[\p{{L}}\p{{M}}]*\s){{1,3}}(?:{SAY_EN})\b))"
+    quoted = F.regexp_replace(m, rf"[{ENDS}](?:(?=\s?[^“”\s][^“”]{{0,300}}+”)|(?=\s?”\s?(?:[とってなか]|하고|라고|이라고|라며|고 )))", MASK)
+    start = rf"(“(?<=(?:^|[{ENDS}”\n]){LEADING}{{0,4}}“)[^“”]{{1,300}})[{ENDS}]"
+    said = rf"{start}(\s?”(?:(?=“)|[^“”{ENDS}\n]{{0,24}}(?:{SAY_ZH})|\s?(?:\p{{Lu}}[\p{{L}}\p{{M}}]*\s){{1,3}}(?:{SAY_EN})\b))"
     step(F.when(F.contains(m, F.lit("”")), F.regexp_replace(quoted, said, rf"$1{MASK}$2")).otherwise(m))
     return df
 

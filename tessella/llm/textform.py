@@ -125,22 +125,23 @@ def common_form(df: DataFrame, text: str, out: str, explode_all: bool = False) -
     and put back at their places.
     """
     c = F.replace(F.col(text), F.lit("\r\n"), F.lit("\n"))
+    kept = [x for x in df.columns if x != out]
     if explode_all:
-        keyed = df.withColumn("_form_key", F.md5(text))
-        distinct = keyed.filter(F.col(text).isNotNull()).groupBy("_form_key").agg(F.min(text).alias("_form_text"))
-        made = exploded_form(distinct, "_form_key", "_form_text", "_form_out")
-        return keyed.join(made, "_form_key", "left").withColumn(out, F.when(F.col(text).isNotNull(), F.coalesce("_form_out", F.lit("")))).select(*df.columns, out)
+        keyed = df.withColumn("__form_key", F.md5(text))
+        distinct = keyed.filter(F.col(text).isNotNull()).groupBy("__form_key").agg(F.min(text).alias("__form_text"))
+        made = exploded_form(distinct, "__form_key", "__form_text", "__form_out")
+        return keyed.join(made, "__form_key", "left").withColumn(out, F.when(F.col(text).isNotNull(), F.coalesce("__form_out", F.lit("")))).select(*kept, out)
     needs = F.coalesce(F.col(text).rlike(_needs_explode()), F.lit(False))
     plain = df.filter(~needs).withColumn(out, _replaced(F.col(text)))
-    rest = df.filter(needs).withColumn("_form_key", F.md5(text))
-    found = rest.groupBy("_form_key").agg(F.min(c).alias("_t")).select("_form_key", F.regexp_extract_all("_t", F.lit(_stretches()), F.lit(0)).alias("_s"))
-    placed = found.select("_form_key", F.posexplode("_s").alias("_pos", "_stretch"))
-    made = cut(exploded_form(placed.select("_stretch").distinct(), "_stretch", "_stretch", "_made"))
-    placed = placed.join(small_side(made, made.count()), "_stretch", "left")
-    made_of = placed.groupBy("_form_key").agg(F.transform(F.sort_array(F.collect_list(F.struct("_pos", F.coalesce("_made", F.lit("")).alias("f")))), lambda x: x["f"]).alias("_forms"))
-    between = F.transform(F.split(c, _stretches()), lambda p, k: F.concat(_replaced(p), F.coalesce(F.try_element_at(F.col("_forms"), k + 1), F.lit(""))))
-    slow = rest.join(made_of, "_form_key").withColumn(out, F.array_join(between, "")).select(*df.columns, out)
-    return plain.select(*df.columns, out).unionByName(slow)
+    rest = df.filter(needs).withColumn("__form_key", F.md5(text))
+    found = rest.groupBy("__form_key").agg(F.min(c).alias("_t")).select("__form_key", F.regexp_extract_all("_t", F.lit(_stretches()), F.lit(0)).alias("_s"))
+    placed = found.select("__form_key", F.posexplode("_s").alias("_pos", "__stretch"))
+    made = cut(exploded_form(placed.select("__stretch").distinct(), "__stretch", "__stretch", "__made"))
+    placed = placed.join(small_side(made, made.count()), "__stretch", "left")
+    made_of = placed.groupBy("__form_key").agg(F.transform(F.sort_array(F.collect_list(F.struct("_pos", F.coalesce("__made", F.lit("")).alias("f")))), lambda x: x["f"]).alias("__forms"))
+    between = F.transform(F.split(c, _stretches()), lambda p, k: F.concat(_replaced(p), F.coalesce(F.try_element_at(F.col("__forms"), k + 1), F.lit(""))))
+    slow = rest.join(made_of, "__form_key").withColumn(out, F.array_join(between, "")).select(*kept, out)
+    return plain.select(*kept, out).unionByName(slow)
 
 
 def letters_form(df: DataFrame, text: str, out: str) -> DataFrame:
