@@ -112,3 +112,34 @@ def lock_report(locks: DataFrame, texts: DataFrame) -> DataFrame:
     seen = marks.groupBy("doc_id", "lock_id").agg(F.count(F.lit(1)).alias("n"))
     both = locks.select("doc_id", "lock_id").join(seen, ["doc_id", "lock_id"], "left")
     return both.groupBy("doc_id").agg(F.count(F.lit(1)).alias("created"), F.count_if(F.col("n").isNull()).alias("missing"), F.count_if(F.col("n") > 1).alias("duplicated"))
+
+
+def bound_images(questions: DataFrame, mapping: DataFrame) -> DataFrame:
+    """(id, content, unmapped): image references replaced by the first stored path of their name, unknown ones listed.
+
+    ``mapping`` has (name, path, ord); references and names meet by ``asset_keys``.
+    """
+    refs = questions.select("id", F.posexplode(F.array_distinct(F.regexp_extract_all("content", F.lit(r"!\[[^\]]*\]\(([^)\s]+)\)"), F.lit(1)))).alias("n", "ref"))
+    keyed = refs.select("id", "n", "ref", F.explode(asset_keys(F.col("ref"))).alias("k"))
+    names = mapping.select("path", "ord", F.explode(asset_keys(F.col("name"))).alias("k"))
+    first = keyed.join(names, "k").groupBy("id", "ref").agg(F.min_by("path", "ord").alias("path"))
+    per = refs.join(first, ["id", "ref"], "left").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("n", "ref", "path"))).alias("r"))
+    done = F.aggregate("r", F.col("content"), lambda s, x: F.when(x["path"].isNull(), s).otherwise(F.replace(s, F.concat(F.lit("]("), x["ref"], F.lit(")")), F.concat(F.lit("]("), x["path"], F.lit(")")))))
+    unmapped = F.transform(F.filter("r", lambda x: x["path"].isNull()), lambda x: x["ref"])
+    joined = questions.select("id", "content").join(per, "id", "left")
+    nothing = F.array().cast("array<string>")
+    return joined.select("id", F.when(F.col("r").isNull(), F.col("content")).otherwise(done).alias("content"), F.when(F.col("r").isNull(), nothing).otherwise(unmapped).alias("unmapped"))
+
+
+def squared_tables(cells: DataFrame) -> DataFrame:
+    """(table_id, row, col, text) of merged tables: a cell (table_id, row, pos, text, span, continues) takes ``span`` columns,
+    one that ``continues`` has the text of the cell above it; short rows are padded with ''."""
+    by = Window.partitionBy("table_id", "row").orderBy("pos")
+    start = F.sum("span").over(by.rowsBetween(Window.unboundedPreceding, -1))
+    laid = cells.withColumn("col", F.coalesce(start, F.lit(0))).withColumn("k", F.explode(F.sequence(F.lit(0), F.col("span") - 1)))
+    laid = laid.select("table_id", "row", (F.col("col") + F.col("k")).alias("col"), F.when(F.col("k") == 0, F.when(~F.col("continues"), F.col("text"))).otherwise(F.lit("")).alias("text"))
+    up = Window.partitionBy("table_id", "col").orderBy("row").rowsBetween(Window.unboundedPreceding, 0)
+    laid = laid.withColumn("text", F.coalesce(F.last("text", ignorenulls=True).over(up), F.lit("")))
+    width = laid.groupBy("table_id").agg(F.max("col").alias("w"))
+    grid = cells.select("table_id", "row").distinct().join(width, "table_id").select("table_id", "row", F.explode(F.sequence(F.lit(0).cast("long"), F.col("w"))).alias("col"))
+    return grid.join(laid, ["table_id", "row", "col"], "left").select("table_id", "row", "col", F.coalesce("text", F.lit("")).alias("text"))

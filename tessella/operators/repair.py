@@ -87,3 +87,47 @@ def rejected_items(items: DataFrame, questions: DataFrame) -> DataFrame:
     )
     checks = F.array(*[F.when(c, F.lit(n)) for n, c in (("too_many", F.col("n") > 200), ("repeated", F.col("different") < F.col("n")), ("unknown", F.col("unknown") > 0), ("range", F.col("range") > 0))])
     return per.select("paper_id", F.explode(F.array_compact(checks)).alias("problem"))
+
+
+def upserted(df: DataFrame, changes: DataFrame, keys: list[str]) -> DataFrame:
+    """``df`` with the rows of ``changes`` in place of those of the same keys, and the new ones added; other rows untouched.
+
+    Columns that ``changes`` lacks are null in new rows. Of several changes of a key the last by all columns stands.
+    """
+    columns = [F.coalesce(F.col(f"c.{x}"), F.col(f"d.{x}")).alias(x) if x in changes.columns else F.col(f"d.{x}").alias(x) for x in df.columns]
+    one = changes.groupBy(*keys).agg(F.max(F.struct(*[c for c in changes.columns if c not in keys])).alias("_r")).select(*keys, "_r.*")
+    on = [F.col(f"d.{k}").eqNullSafe(F.col(f"c.{k}")) for k in keys]
+    return df.alias("d").join(one.alias("c"), on, "full").select(*columns)
+
+
+def backfilled(curriculums: DataFrame, questions: DataFrame, edition: str = "A") -> DataFrame:
+    """Rows of ``edition`` for every question, when the mapping table is empty; else the table as it is."""
+    rows = questions.select(
+        F.col("id").alias("question_id"), F.lit(edition).alias("version_code"), F.col("category_compulsory").alias("compulsory"), F.col("category_chapter").alias("chapter"), F.col("category_knowledge").alias("knowledge")
+    )
+    return rows if curriculums.isEmpty() else curriculums.select(*rows.columns)
+
+
+def saved_paper(paper_id: int, ids: list[int], scores: list[int], questions: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(items, usage): the items of a new paper, places from 1, and the questions' usage raised; refused as a whole if an item is wrong."""
+    spark = questions.sparkSession
+    items = spark.createDataFrame([(paper_id, i, n + 1, s) for n, (i, s) in enumerate(zip(ids, scores, strict=True))], "paper_id long, question_id long, order_index int, score int")
+    problems = [r.problem for r in rejected_items(items, questions).collect()]
+    if problems or not ids:
+        raise ValueError("paper refused: " + (", ".join(sorted(problems)) or "no items"))
+    used = items.select(F.col("question_id").alias("id"), F.lit(1).alias("_k"))
+    usage = questions.join(used, "id", "left").withColumn("usage_count", (F.coalesce("usage_count", F.lit(0)) + F.coalesce("_k", F.lit(0))).cast("int")).drop("_k")
+    return items, usage
+
+
+def manifest_differences(stored: DataFrame, found: DataFrame) -> DataFrame:
+    """(path, problem) of files (path, size, sha) that are missing, unknown or changed."""
+    both = stored.alias("s").join(found.alias("f"), F.col("s.path") == F.col("f.path"), "full")
+    problem = F.when(F.col("f.path").isNull(), "missing").when(F.col("s.path").isNull(), "unknown").when((F.col("s.size") != F.col("f.size")) | (F.col("s.sha") != F.col("f.sha")), "changed")
+    return both.select(F.coalesce("s.path", "f.path").alias("path"), problem.alias("problem")).filter("problem is not null")
+
+
+def missing_columns(required: dict[str, list[str]], tables: dict[str, DataFrame]) -> dict[str, list[str]]:
+    """Columns a layout lacks, by table; a missing table lacks all of its columns."""
+    lacking = {t: [c for c in columns if t not in tables or c not in tables[t].columns] for t, columns in required.items()}
+    return {t: c for t, c in lacking.items() if c}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.functions import latex
+from tessella.functions import items, latex
 from tessella.registry import query
 from tessella.sources.tables import table
 
@@ -193,3 +193,34 @@ def sca57_balanced(spark: SparkSession, d: str) -> DataFrame:
 @query("sca58_escaped", r"select id, replace(replace(replace(source, '%', '\%'), '&', '\&'), '_', '\_') as source from questions where source is not null")
 def sca58_escaped(spark: SparkSession, d: str) -> DataFrame:
     return q(spark, d).filter("source is not null").select("id", latex.escaped_text(F.col("source")).alias("source"))
+
+
+@query("sca35_choices", r"select id, len(list_filter(list_transform(string_split_regex(regexp_extract(content, '\\begin\{choices\}([\s\S]*?)\\end\{choices\}', 1), '\\item\b'), lambda x: trim(x, ' ' || chr(10))), lambda x: x <> '')) as n_choices from questions where contains(content, '\begin{choices}')")
+def sca35_choices(spark: SparkSession, d: str) -> DataFrame:
+    """SCA35: options of the stems with a choices environment."""
+    c = q(spark, d).filter(F.contains("content", F.lit("\\begin{choices}")))
+    return c.select("id", F.size(items.question_parts(F.col("content"))["choices"]).cast("long").alias("n_choices"))
+
+
+@query("sca35_parts")
+def sca35_parts(spark: SparkSession, d: str) -> DataFrame:
+    """Every stem without options and images, its options, and the columns they are set in."""
+    return q(spark, d).select("id", items.question_parts(F.col("content")).alias("p")).select("id", "p.*", items.choice_columns(F.col("p.choices")).alias("columns"))
+
+
+@query("sca21_ocr_text")
+def sca21_ocr_text(spark: SparkSession, d: str) -> DataFrame:
+    return q(spark, d).select("id", items.ocr_text(F.col("content")).alias("content"))
+
+
+@query("sca46_editions", "select version_code, case when contains(string_agg(chapter, ' '), '第一章') then 'B' when contains(string_agg(chapter, ' '), '第1章') then 'S' else 'A' end as edition from curriculum_tree group by 1")
+def sca46_editions(spark: SparkSession, d: str) -> DataFrame:
+    """SCA46: the edition each tree's chapter names point to; a tree is a bounded list."""
+    t = table(spark, d, "curriculum_tree").groupBy("version_code").agg(F.collect_set("chapter").alias("c"))
+    return t.select("version_code", items.edition_of(F.col("c")).alias("edition"))
+
+
+@query("sca47_intents", r"select id, cast(5 as integer) as n, contains(title, '复习') or contains(title, '错题') as review from papers where title is not null")
+def sca47_intents(spark: SparkSession, d: str) -> DataFrame:
+    """SCA47: paper titles read as requests."""
+    return table(spark, d, "papers").filter("title is not null").select("id", items.intent(F.col("title")).alias("i")).select("id", F.col("i.limit").alias("n"), "i.review")
