@@ -115,7 +115,7 @@ def exploded_form(texts: DataFrame, key: str, text: str, out: str) -> DataFrame:
 
 def _stretches() -> str:
     """Pattern of a character and the code points behind it that need exploding; what stands between is independent."""
-    return rf"(?s).?(?:{_needs_explode()})+"
+    return rf"(?s).?(?:{_needs_explode()})++"
 
 
 def common_form(df: DataFrame, text: str, out: str, explode_all: bool = False) -> DataFrame:
@@ -135,9 +135,10 @@ def common_form(df: DataFrame, text: str, out: str, explode_all: bool = False) -
     plain = df.filter(~needs).withColumn(out, _replaced(F.col(text)))
     rest = df.filter(needs).withColumn("__form_key", F.md5(text))
     found = rest.groupBy("__form_key").agg(F.min(c).alias("_t")).select("__form_key", F.regexp_extract_all("_t", F.lit(_stretches()), F.lit(0)).alias("_s"))
-    placed = found.select("__form_key", F.posexplode("_s").alias("_pos", "__stretch"))
-    made = cut(exploded_form(placed.select("__stretch").distinct(), "__stretch", "__stretch", "__made"))
-    placed = placed.join(small_side(made, made.count()), "__stretch", "left")
+    placed = found.select("__form_key", F.posexplode("_s").alias("_pos", "__stretch")).withColumn("__stretch_key", F.unhex(F.md5("__stretch")))
+    distinct = placed.groupBy("__stretch_key").agg(F.min("__stretch").alias("__stretch"))  # code points carry a short key, not the stretch
+    made = cut(exploded_form(distinct, "__stretch_key", "__stretch", "__made"))
+    placed = placed.drop("__stretch").join(small_side(made, made.count()), "__stretch_key", "left")
     made_of = placed.groupBy("__form_key").agg(F.transform(F.sort_array(F.collect_list(F.struct("_pos", F.coalesce("__made", F.lit("")).alias("f")))), lambda x: x["f"]).alias("__forms"))
     between = F.transform(F.split(c, _stretches()), lambda p, k: F.concat(_replaced(p), F.coalesce(F.try_element_at(F.col("__forms"), k + 1), F.lit(""))))
     slow = rest.join(made_of, "__form_key").withColumn(out, F.array_join(between, "")).select(*kept, out)
