@@ -126,6 +126,20 @@ def test_near_duplicates_equal_brute_force(spark, data):
     assert neardup.NearDuplicates(df.limit(0)).pairs().count() == 0
 
 
+def test_pairs_just_close_enough_are_met(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    letters = lambda n: "".join(map(chr, rng.integers(0x4E00, 0x9FA6, n)))
+    rows = []
+    for k in range(4000):  # 71 sequences of 101 in both: a similarity of 0.703
+        both = letters(73)
+        rows += [(2 * k, both + letters(15), ""), (2 * k + 1, both + letters(15), "")]
+    got = {tuple(r) for r in neardup.NearDuplicates(spark.createDataFrame(rows, "id long, content string, source string")).pairs().collect()}
+    assert got <= {(2 * k, 2 * k + 1) for k in range(4000)}
+    assert len(got) >= 0.993 * 4000
+
+
 # ------------------------------------------------------------------ problem 1
 
 
