@@ -5,14 +5,18 @@ where its context supports a far more frequent form of the same skeleton; digits
 lines that recur and whose ends stand at no other place; page numbers are told by their shapes; lines are joined into
 paragraphs by SQL windows.
 
-All counts are taken over the whole table. They are gathered per partition and summed by hashed bucket, so what reaches
-the driver has a fixed size at any scale. Null and empty texts have no noise; other columns are ignored.
+All counts are taken over the whole table. Pairs and words are gathered per partition and summed by hashed bucket, so what
+reaches the driver of them has a fixed size at any scale. Lines are counted by their full 64-bit hash and each is judged by
+its own edges; only those that recur are looked at again, so many at a time as a broadcast holds, and of a header eight
+bytes are kept. Null and empty texts have no noise; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
+from array import array
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
@@ -23,9 +27,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.llm import forms
+from tessella.plans.lineage import cut
 
 BUCKETS = 1 << 21
-LINE_BUCKETS = 1 << 22
+#: Recurring lines whose edges are counted in one pass over the texts.
+LINES_AT_ONCE = 1 << 20
 #: Characters of a line's edge, by the line's length.
 EDGES = (10, 8)
 #: A header recurs in at least so many records, and at least this share of its edges' occurrences stand at line edges.
@@ -92,9 +98,10 @@ def may_be_header(part: str) -> bool:
     return 8 <= len(part) <= 90 and not NOT_HEADER.search(part) and sum(c.isalpha() for c in part) >= 4
 
 
-def bucket(s: str, buckets: int = BUCKETS) -> int:
-    """A stable hash of a short string."""
-    return xxhash.xxh64_intdigest(s) % buckets
+def line_hash(part: str) -> int:
+    """A stable 64-bit hash of a line."""
+    h = xxhash.xxh64_intdigest(part)
+    return h - (1 << 64) if h >> 63 else h
 
 
 def two_buckets(s: str) -> tuple[int, int]:
@@ -177,14 +184,18 @@ def readings(word: str) -> set[str]:
 
 
 class ScanModel:
-    """Counts over the whole table: headers by their hashed lines, pairs of characters, words."""
+    """Counts over the whole table: headers by their hashed lines in order, pairs of characters, words."""
 
-    def __init__(self, headers: set[int], pairs: np.ndarray, words: np.ndarray, words_again: np.ndarray):
+    def __init__(self, headers: array, pairs: np.ndarray, words: np.ndarray, words_again: np.ndarray):
         self.headers, self.pairs, self.words, self.words_again = headers, pairs, words, words_again
         self.known: dict[str, str | None] = {}
 
     def is_header(self, part: str) -> bool:
-        return may_be_header(part) and (bucket(part, LINE_BUCKETS) in self.headers or bool(HEADER_WORDS.search(part)))
+        return may_be_header(part) and (self._recurs(line_hash(part)) or bool(HEADER_WORDS.search(part)))
+
+    def _recurs(self, h: int) -> bool:
+        k = bisect_left(self.headers, h)
+        return k < len(self.headers) and self.headers[k] == h
 
     def noise_lines(self, text: str) -> dict[int, set[str]]:
         """Kinds of noise by line number."""
@@ -300,45 +311,11 @@ def long_form(df: DataFrame, key: str, fields: tuple[str, ...]) -> DataFrame:
     return df.select(F.col(key).alias("id"), F.explode(items).alias("x")).select("id", "x.field", "x.t").filter("t is not null and t != ''")
 
 
-def fit(texts: DataFrame) -> ScanModel:
-    """Count over all texts, in two passes: lines, pairs and words; then how often the edges of recurring lines occur at all."""
+def _headers(texts: DataFrame, lines: pd.DataFrame) -> np.ndarray:
+    """Of recurring lines (k, a, z) the hashes of those whose edges stand at line edges."""
+    if lines.empty:
+        return np.zeros(0, np.int64)
     sc = texts.sparkSession.sparkContext
-
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        lines: Counter = Counter()
-        words: Counter = Counter()
-        pairs = np.zeros(BUCKETS, np.int64)
-        for b in batches:
-            texts_: list[str] = []
-            for t in b["t"]:
-                if "\n" in t:
-                    for part in {line_parts(x)[0] for x in t.split("\n") if 6 <= len(x) <= 140}:
-                        if may_be_header(part):
-                            lines[part] += 1
-                masked = folded(FORMULA.sub("@", t))
-                words.update(words_of(HYPHEN.sub("", masked)))
-                texts_.append(dense(masked))
-            _, c, before, behind, _ = _positions(texts_)
-            pairs += np.bincount(_pair_bucket(before, c, 0), minlength=BUCKETS) + np.bincount(_pair_bucket(c, behind, 1), minlength=BUCKETS)
-        keys = list(lines)
-        yield pd.DataFrame({"kind": 0, "k": [bucket(x, LINE_BUCKETS) for x in keys], "a": [_signed(edges_of(x)[0]) for x in keys], "z": [_signed(edges_of(x)[1]) for x in keys], "n": [lines[x] for x in keys]})
-        at = np.flatnonzero(pairs)
-        yield pd.DataFrame({"kind": 1, "k": at, "a": 0, "z": 0, "n": pairs[at]})
-        hashed = np.array([two_buckets(w) for w in words], np.int64).reshape(-1, 2)
-        for kind in (2, 3):
-            held = np.bincount(hashed[:, kind - 2], np.fromiter(words.values(), np.int64, len(words)), minlength=BUCKETS).astype(np.int64)
-            at = np.flatnonzero(held)
-            yield pd.DataFrame({"kind": kind, "k": at, "a": 0, "z": 0, "n": held[at]})
-
-    counted = texts.select("t").mapInPandas(count, "kind int, k int, a long, z long, n long")
-    rows = counted.groupBy("kind", "k").agg(F.sum("n").alias("n"), F.min("a").alias("a"), F.min("z").alias("z")).filter(f"n >= if(kind = 0, {HEADER_RECORDS}, 2)").toPandas()
-    tables = []
-    for kind in (1, 2, 3):
-        own = rows[rows["kind"] == kind]
-        t = np.zeros(BUCKETS, np.int64)
-        t[own["k"]] = own["n"]
-        tables.append(t)
-    lines = rows[rows["kind"] == 0]
     wanted = [np.unique(lines[c].to_numpy(np.int64).view(np.uint64)) for c in ("a", "z")]
     coarse = np.zeros(1 << 20, bool)  # a first look, before the exact one
     for w in wanted:
@@ -376,15 +353,58 @@ def fit(texts: DataFrame) -> ScanModel:
             k = np.flatnonzero(anywhere[side])
             yield pd.DataFrame({"side": side, "k": k, "n": anywhere[side][k], "e": at_edge[side][k]})
 
+    anywhere = texts.select("t").mapInPandas(edges, "side int, k int, n long, e long").groupBy("side", "k").agg(F.sum("n").alias("n"), F.sum("e").alias("e")).toPandas()
     share = [np.zeros(len(w)) for w in wanted]
-    if len(lines):
-        e = texts.select("t").mapInPandas(edges, "side int, k int, n long, e long").groupBy("side", "k").agg(F.sum("n").alias("n"), F.sum("e").alias("e")).toPandas()
-        for side in (0, 1):
-            own = e[e["side"] == side]
-            share[side][own["k"]] = own["e"] / own["n"]
+    for side in (0, 1):
+        own = anywhere[anywhere["side"] == side]
+        share[side][own["k"]] = own["e"] / own["n"]
+    held.destroy()
     of = lambda side, c: share[side][np.searchsorted(wanted[side], lines[c].to_numpy(np.int64).view(np.uint64))]
-    good = lines[(of(0, "a") >= HEADER_SHARE) & (of(1, "z") >= HEADER_SHARE)]
-    return ScanModel(set(map(int, good["k"])), *tables)
+    return lines["k"].to_numpy(np.int64)[(of(0, "a") >= HEADER_SHARE) & (of(1, "z") >= HEADER_SHARE)]
+
+
+def fit(texts: DataFrame) -> ScanModel:
+    """Count over all texts, in two passes: lines, pairs and words; then how often the edges of recurring lines occur at all."""
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        lines: Counter = Counter()
+        words: Counter = Counter()
+        pairs = np.zeros(BUCKETS, np.int64)
+        for b in batches:
+            texts_: list[str] = []
+            for t in b["t"]:
+                if "\n" in t:
+                    for part in {line_parts(x)[0] for x in t.split("\n") if 6 <= len(x) <= 140}:
+                        if may_be_header(part):
+                            lines[part] += 1
+                masked = folded(FORMULA.sub("@", t))
+                words.update(words_of(HYPHEN.sub("", masked)))
+                texts_.append(dense(masked))
+            _, c, before, behind, _ = _positions(texts_)
+            pairs += np.bincount(_pair_bucket(before, c, 0), minlength=BUCKETS) + np.bincount(_pair_bucket(c, behind, 1), minlength=BUCKETS)
+        keys = list(lines)
+        yield pd.DataFrame({"kind": 0, "k": np.array([line_hash(x) for x in keys], np.int64), "a": [_signed(edges_of(x)[0]) for x in keys], "z": [_signed(edges_of(x)[1]) for x in keys], "n": [lines[x] for x in keys]})
+        at = np.flatnonzero(pairs)
+        yield pd.DataFrame({"kind": 1, "k": at, "a": 0, "z": 0, "n": pairs[at]})
+        hashed = np.array([two_buckets(w) for w in words], np.int64).reshape(-1, 2)
+        for kind in (2, 3):
+            held = np.bincount(hashed[:, kind - 2], np.fromiter(words.values(), np.int64, len(words)), minlength=BUCKETS).astype(np.int64)
+            at = np.flatnonzero(held)
+            yield pd.DataFrame({"kind": kind, "k": at, "a": 0, "z": 0, "n": held[at]})
+
+    counted = texts.select("t").mapInPandas(count, "kind int, k long, a long, z long, n long")
+    kept = cut(counted.groupBy("kind", "k").agg(F.sum("n").alias("n"), F.min("a").alias("a"), F.min("z").alias("z")).filter(f"n >= if(kind = 0, {HEADER_RECORDS}, 2)"))
+    rows = kept.filter("kind > 0").select("kind", "k", "n").toPandas()
+    tables = []
+    for kind in (1, 2, 3):
+        own = rows[rows["kind"] == kind]
+        t = np.zeros(BUCKETS, np.int64)
+        t[own["k"]] = own["n"]
+        tables.append(t)
+    recurring = kept.filter("kind = 0").select("k", "a", "z")
+    slices = -(-recurring.count() // LINES_AT_ONCE)
+    headers = [_headers(texts, recurring.filter(F.pmod(F.hash("k"), F.lit(slices)) == k).toPandas()) for k in range(slices)]
+    return ScanModel(array("q", np.sort(np.concatenate([*headers, np.zeros(0, np.int64)])).tolist()), *tables)
 
 
 def scan_noise(df: DataFrame, key: str = "id", fields: tuple[str, ...] = ("content", "answer_markdown")) -> DataFrame:

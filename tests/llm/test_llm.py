@@ -192,6 +192,24 @@ def test_scan_noise_and_repair(spark, data):
     assert text[900102, "content"] == "设函数\n51\n37\n70" and text[900101, "answer_markdown"] == "42"
 
 
+def test_lines_are_judged_by_themselves(spark, monkeypatch):
+    import numpy as np
+    import xxhash
+
+    drawn = np.random.default_rng(5).integers(0x4E00, 0x9FA6, (200_000, 12))
+    same: dict[int, list[str]] = {}
+    for line in ("".join(map(chr, x)) for x in drawn):
+        same.setdefault(xxhash.xxh64_intdigest(line) % (1 << 22), []).append(line)
+    once = next(x for x in same.values() if len(x) == 3)
+    first = lambda x: tuple(map(scans._signed, scans.edges_of(x)))
+    prose, header = next((a, b) for x in same.values() if len(x) == 2 for a, b in itertools.permutations(x) if all(p < q for p, q in zip(first(a), first(b), strict=True)))
+    texts = [f"{x}\n求值。" for x in once] + [f"{header}\n求值。"] * 4 + [f"{prose}\n求值。"] + [f"已知{prose}成立。\n求值。"] * 4
+    df = spark.createDataFrame([(k, t, None) for k, t in enumerate(texts)], "id long, content string, answer_markdown string")
+    for at_once in (1 << 20, 1):
+        monkeypatch.setattr(scans, "LINES_AT_ONCE", at_once, raising=False)
+        assert {r.id for r in scans.scan_noise(df).filter("kind = 'header'").collect()} == {3, 4, 5, 6}
+
+
 def test_readings_and_parts():
     assert "the" in scans.readings("tlie") and "number" in scans.readings("nurnber") and "value" in scans.readings("va1ue")
     assert scans.line_parts("数学周练编    -145-") == ("数学周练编", True) and scans.line_parts("21  285") == ("#  #", False)
