@@ -41,10 +41,17 @@ def sca3_named_form(spark: SparkSession, d: str) -> DataFrame:
     select id, case when (length(s) - length(replace(s, '$', ''))) % 2 = 0 then s else s || '$' end as stem from s""",
 )
 def sca4_choice_stem(spark: SparkSession, d: str) -> DataFrame:
+    """SCA4 of first lines, as far as SQL can follow it; ``sca4_whole_stems`` has every stem whole."""
     line = F.split("content", "\n")[0]
     return q(spark, d).filter(F.contains("content", F.lit("（　　）"))).select("id", latex.choice_stem(line).alias("stem"))
 
 
+@query("sca4_whole_stems")
+def sca4_whole_stems(spark: SparkSession, d: str) -> DataFrame:
+    """SCA4: every stem without the empty brackets at its end."""
+    return q(spark, d).select("id", latex.choice_stem(F.col("content")).alias("stem"))
+
+
 @query("sca6_paragraphs")
 def sca6_paragraphs(spark: SparkSession, d: str) -> DataFrame:
     return q(spark, d).select("id", latex.stem_paragraphs(F.col("content")).alias("content"))

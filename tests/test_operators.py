@@ -1,10 +1,12 @@
 """Cases of the core operators: nulls, ties, empty tables, hot keys."""
 
 import datetime
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
+from tessella import registry
 from tessella.functions import latex, values
 from tessella.operators import documents, pairs, papers, repair, search
 from tessella.operators.components import components
@@ -90,6 +92,30 @@ def test_text_functions(spark, function, text, expected):
     assert one(spark, function, text) == expected
 
 
+def stem_without_brackets(text):
+    """SCA4 in plain Python."""
+    text = (text or "").strip()
+    blank = r"(?:\\quad|\\qquad|\\hspace\{[^{}]*\}|[\s\xa0\u3000_])*"
+    plain = rf"[(（]\s*{blank}\s*[)）]"
+    text = re.sub(rf"(?:[\s\xa0\u3000]*(?:\$\s*{plain}\s*\$|[(（]\s*\$\s*{blank}\s*\$\s*[)）]|{plain}))+[\s\xa0\u3000]*$", "", text).strip()
+    text = re.sub(r"\\paren\b", "", text).strip()
+    signs = [m.start() for m in re.finditer(r"(?<!\\)\$", text)]
+    if len(signs) % 2 == 0:
+        return text
+    return text + "$" if text[signs[-1] + 1 :].strip() else text[: signs[-1]].rstrip()
+
+
+def test_whole_choice_stems_equal_brute_force(spark, data, tmp_path):
+    texts = [
+        "甲\n乙（　　）", "甲（　　）\n乙", "甲\n乙( )\n（ ）  ", "甲\n$x=1 $(\\quad)$", "甲 $y$\n（$\\qquad$）", "甲\u2003(\u2003\\hspace{1cm}_)\u2003", "甲 \\paren\n乙", "\\parens \\paren的", "甲\n$x", "甲 $x$\n乙\u2003$", "甲\\$\n",
+        "甲$x$()\n()()", "甲(" + "_ " * 9000 + ")", "甲\x1c(\x1d)", "", None, "（　　）", "没有括号\n$1$",
+    ]
+    spark.createDataFrame(list(enumerate(texts)), "id long, content string").write.parquet(str(tmp_path / "questions.parquet"))
+    for d in (str(tmp_path), data):
+        content = {r.id: r.content for r in spark.read.parquet(f"{d}/questions.parquet").select("id", "content").collect()}
+        assert {r.id: r.stem for r in registry.queries()["sca4_whole_stems"](spark, d).collect()} == {i: stem_without_brackets(t) for i, t in content.items()}
+
+
 @pytest.mark.parametrize(("text", "pages"), [("1-2,2,3", [0, 1, 2]), (" ", [0, 1, 2]), ("3", [2])])
 def test_page_range(spark, text, pages):
     assert one(spark, lambda c: latex.page_range(c, F.lit(3)), text) == pages
