@@ -72,6 +72,9 @@ OFTEN_OPEN_AT_END = re.compile(rf"{NOT_WITHIN}(?:{OFTEN_OPEN})$")
 OPEN_MARK = re.compile(r"(?:[,，、;；:：=+\-×÷<>≤≥&(（\[【“「『‘《^_\\/]|\.\.+|…+|\*\*)$")
 CLOSED = re.compile(r"[。．.!！?？｡।؟][\"”’』」）)\]】》»*_\s]*$|[）)】」』”]$")
 FORMULA = re.compile(r"\$\$[^$]*\$\$|\$[^$]*\$")
+SENTENCE = re.compile(r"(?:\$\$[^$]*\$\$|\$[^$]*\$|[^。.!?！？\n])+")
+#: What a sentence outside formulas solves by.
+RELATION = re.compile(r"[=<>≤≥≈]")
 OPEN_FORMULA = re.compile(r"(?:[=+\-<>≤≥×·/(\[,&^_]|\\(?:le|ge|leq|geq|times|cdot|to|pm|in))\s*\$+[\s.。…]*$")
 NUMBER = re.compile(r"\d+(?:[.,]\d+)*")
 #: A last line that only the page put there: a page number, or a running header by its usual words and marks.
@@ -241,8 +244,16 @@ def is_empty(s: str) -> bool:
     return not re.search(r"[^\W_]", s) and "$" not in s
 
 
-def is_refusal(s: str) -> bool:
-    return len(s) <= 400 and bool(REFUSAL.search(s)) and not FORMULA.search(s)
+def is_refusal(s: str, question: str | None = None) -> bool:
+    """Something is refused, and the other sentences solve nothing: no relation, and no formula but the question's own."""
+    if not REFUSAL.search(FORMULA.sub("@", s)):
+        return False
+    rest = [x for x in SENTENCE.findall(s) if not REFUSAL.search(FORMULA.sub("@", x))]
+    if any(RELATION.search(FORMULA.sub("@", x)) for x in rest):
+        return False
+    own = [f for x in rest for f in FORMULA.findall(x)]
+    known = _compact(question or "") if own else ""
+    return all(_compact(f) in known for f in own)
 
 
 def _compact(s: str) -> str:
@@ -299,7 +310,7 @@ def classify(ids: list, questions: list, answers: list, language: LanguageModel,
         s = stripped(a)
         if is_empty(s):
             found.append((i, "empty"))
-        elif is_refusal(s):
+        elif is_refusal(s, q):
             found.append((i, "refusal"))
         elif q and is_copy(q, s):
             found.append((i, "copy"))

@@ -164,6 +164,16 @@ def test_defects(judged):
     assert {i: got.get(i) for i in cases} == {i: c[2] for i, c in cases.items()}
 
 
+def test_refusals_of_any_length_and_with_formulas():
+    question = "Solve $x^2=4$ for $x$."
+    judge = lambda s: answers.classify([1], [question], [s], None, None)
+    assert answers.is_refusal("I cannot help with solving $x^2=4$.")
+    assert judge("I cannot help with this. You asked about $x^2=4$ and $x$.") == [(1, "refusal")]
+    assert judge("抱歉，我无法解答这道题。" + "请向老师询问，或者查阅课本中的相关章节。" * 40) == [(1, "refusal")]
+    assert not answers.is_refusal("We cannot give a solution by factoring. So we take roots and find $x=2$.", question)
+    assert not answers.is_refusal("We cannot solve it by factoring.\nThen x = 2 or x = -2.", question)
+
+
 def test_language_model_on_held_out_documents(spark, data):
     d = spark.read.parquet(f"{data}/documents.parquet")
     model = answers.fit_languages(d.filter("doc_id % 2 = 0"), 50)
