@@ -70,7 +70,7 @@ def snk3_manifest(spark: SparkSession, d: str) -> DataFrame:
 
 @query("doc9_locked_formulas", r"select id, len(regexp_extract_all(content, '\$[^$]+\$')) as n_locks from questions where not contains(content, '$$') and not contains(content, '\$') and not contains(content, '\[') and not contains(content, '\(') and (length(content) - length(replace(content, '$', ''))) % 2 = 0 and not regexp_matches(content, '\\begin\{(equation|align|gather|aligned|array|cases|[a-zA-Z]?matrix|math)')")
 def doc9_locked_formulas(spark: SparkSession, d: str) -> DataFrame:
-    """DOC9: formulas put under locks, one batch call per Arrow batch."""
+    """DOC9 of the stems SQL can follow; ``doc9_all_locks`` has every stem."""
     c = F.col("content")
     plain = ~F.contains(c, F.lit("$$")) & ~F.contains(c, F.lit("\\$")) & ~F.contains(c, F.lit("\\[")) & ~F.contains(c, F.lit("\\("))
     plain = plain & (F.regexp_count(c, F.lit(r"\$")) % 2 == 0) & ~c.rlike(r"\\begin\{(?:equation|align|gather|aligned|array|cases|[a-zA-Z]?matrix|math)")
@@ -78,6 +78,13 @@ def doc9_locked_formulas(spark: SparkSession, d: str) -> DataFrame:
     return q.select("id", F.size("l.locks").cast("long").alias("n_locks"))
 
 
+@query("doc9_all_locks")
+def doc9_all_locks(spark: SparkSession, d: str) -> DataFrame:
+    """DOC9: the formulas of every stem put under locks, one batch call per Arrow batch."""
+    q = table(spark, d, "questions").select("id", parsers.lock_formulas("content", F.col("id").cast("string")).alias("l"))
+    return q.select("id", F.size("l.locks").cast("long").alias("n_locks"), "l.locked", "l.locks")
+
+
 @query("sca32_tokens")
 def sca32_tokens(spark: SparkSession, d: str) -> DataFrame:
     """SCA32: stems as text, formulas and gaps in order."""
@@ -95,6 +102,11 @@ def sca50_model_json(spark: SparkSession, d: str) -> DataFrame:
 
 @query("sca18_tex_sources")
 def sca18_tex_sources(spark: SparkSession, d: str) -> DataFrame:
-    """SCA13 to SCA18: every paper's title and first stems as a TeX source, prepared."""
-    head = F.concat(F.lit("\\newcommand{\\R}{\\mathbb{R}}\n\\title{"), F.coalesce("title", F.lit("")), F.lit("}\n\\begin{document}\n% note\n\\question x \\R\n\\end{document}"))
-    return table(spark, d, "papers").select("id", parsers.tex_source(head).alias("t")).select("id", "t.*")
+    """SCA13 to SCA18: every paper's title and stems as a TeX source, prepared."""
+    pq = table(spark, d, "paper_questions").select("paper_id", "question_id", "order_index")
+    q = table(spark, d, "questions").select(F.col("id").alias("question_id"), F.coalesce("content", F.lit("")).alias("stem"))
+    stems = pq.join(q, "question_id").groupBy("paper_id").agg(F.sort_array(F.collect_list(F.struct("order_index", "question_id", "stem"))).alias("stems"))
+    papers = table(spark, d, "papers").join(stems, F.col("id") == F.col("paper_id"), "left")
+    body = F.coalesce(F.array_join(F.transform("stems", lambda x: F.concat(F.lit("\\question "), x["stem"], F.lit("\n"))), ""), F.lit(""))
+    source = F.concat(F.lit("\\newcommand{\\R}{\\mathbb{R}}\n\\title{"), F.coalesce("title", F.lit("")), F.lit("}\n\\begin{document}\n% note\n"), body, F.lit("\\end{document}"))
+    return papers.select("id", parsers.tex_source(source).alias("t")).select("id", "t.*")

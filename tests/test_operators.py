@@ -116,6 +116,20 @@ def test_whole_choice_stems_equal_brute_force(spark, data, tmp_path):
         assert {r.id: r.stem for r in registry.queries()["sca4_whole_stems"](spark, d).collect()} == {i: stem_without_brackets(t) for i, t in content.items()}
 
 
+def test_locks_of_every_stem_and_sources_of_whole_papers(spark, tmp_path):
+    stems = {1: r"a $$x$$ b \$5 $y$", 2: r"\[u\] \(v\) \begin{cases}a\end{cases}", 3: "open $z", 4: "", 5: None}
+    spark.createDataFrame(list(stems.items()), "id long, content string").write.parquet(str(tmp_path / "questions.parquet"))
+    spark.createDataFrame([(7, "T"), (8, None)], "id long, title string").write.parquet(str(tmp_path / "papers.parquet"))
+    spark.createDataFrame([(7, 2, 1), (7, 1, 2), (7, 99, 3)], "paper_id long, question_id long, order_index int").write.parquet(str(tmp_path / "paper_questions.parquet"))
+    rows = registry.queries()["doc9_all_locks"](spark, str(tmp_path)).collect()
+    assert {r.id: [x.original for x in r.locks] for r in rows} == {1: ["$$x$$", "$y$"], 2: [r"\[u\]", r"\(v\)", r"\begin{cases}a\end{cases}"], 3: [], 4: [], 5: []}
+    assert all(r.n_locks == len(r.locks) for r in rows)
+    sources = {r.id: r for r in registry.queries()["sca18_tex_sources"](spark, str(tmp_path)).collect()}
+    body = sources[7].body
+    assert sources[7].title == "T" and body.count("\\question") == 2 and 0 <= body.index(stems[2]) < body.index(stems[1])
+    assert "\\question" not in sources[8].body
+
+
 @pytest.mark.parametrize(("text", "pages"), [("1-2,2,3", [0, 1, 2]), (" ", [0, 1, 2]), ("3", [2])])
 def test_page_range(spark, text, pages):
     assert one(spark, lambda c: latex.page_range(c, F.lit(3)), text) == pages
