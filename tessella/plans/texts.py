@@ -137,10 +137,17 @@ def agg15_formula_counts(spark: SparkSession, d: str) -> DataFrame:
 
 @query("sca37_figures", r"select id, list_distinct(regexp_extract_all(content, '!\[[^\]]*\]\(([^)\s]+)[^)]*\)', 1)) as figures from questions where contains(content, '![') and len(regexp_extract_all(content, '!\[[^\]]*\]\(([^)\s]+)[^)]*\)', 1)) = 1")
 def sca37_figures(spark: SparkSession, d: str) -> DataFrame:
+    """SCA37 of stems with one image, as far as SQL can follow it; ``sca37_all_figures`` has every stem."""
     f = latex.figures(F.col("content"))
     return q(spark, d).filter(F.contains("content", F.lit("!["))).select("id", f.alias("figures")).filter(F.size("figures") == 1)
 
 
+@query("sca37_all_figures")
+def sca37_all_figures(spark: SparkSession, d: str) -> DataFrame:
+    """SCA37: drawings and images of every stem in order."""
+    return q(spark, d).select("id", latex.figures_and_drawings(F.col("content")).alias("figures"))
+
+
 @query("sca38_align", "select p.id, q.id as question_id, case when p.paper_type = 'quiz' then 'bottom_right' when q.id % 3 > 1 and q.figure_align = 'right' then 'center' else q.figure_align end as align from papers p join paper_questions pq on pq.paper_id = p.id join questions q on q.id = pq.question_id where pq.order_index = 1")
 def sca38_align(spark: SparkSession, d: str) -> DataFrame:
     pq = table(spark, d, "paper_questions").filter("order_index = 1").select("paper_id", "question_id")

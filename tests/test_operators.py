@@ -130,6 +130,16 @@ def test_locks_of_every_stem_and_sources_of_whole_papers(spark, tmp_path):
     assert "\\question" not in sources[8].body
 
 
+def test_figures_of_every_stem(spark, tmp_path):
+    drawing = "\\begin{tikzpicture}\n\\draw;\n\\end{tikzpicture}"
+    cases = {
+        1: ("![a](u/a.png) ![](b.png) ![](u/a.png)", ["u/a.png", "b.png"]), 2: ("\\includegraphics[width=1cm]{c.png}", ["c.png"]), 3: (f"![](u/tikz_1.png) {drawing} ![](d.png) {drawing}", [drawing, drawing, "d.png"]),
+        4: ("![](tikz_1.png)", ["tikz_1.png"]), 5: ("none", []), 6: (None, []),
+    }
+    spark.createDataFrame([(i, c) for i, (c, _) in cases.items()], "id long, content string").write.parquet(str(tmp_path / "questions.parquet"))
+    assert {r.id: r.figures for r in registry.queries()["sca37_all_figures"](spark, str(tmp_path)).collect()} == {i: f for i, (_, f) in cases.items()}
+
+
 @pytest.mark.parametrize(("text", "pages"), [("1-2,2,3", [0, 1, 2]), (" ", [0, 1, 2]), ("3", [2])])
 def test_page_range(spark, text, pages):
     assert one(spark, lambda c: latex.page_range(c, F.lit(3)), text) == pages
