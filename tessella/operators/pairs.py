@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Ids up to this number (8 bytes each) may be broadcast; beyond it the join shuffles.
-BROADCAST_IDS = 500_000
+#: A counted side of up to so many bytes may be broadcast; beyond it the join shuffles.
+BROADCAST_BYTES = 8 << 20
 
 
 def pairs_within(members: DataFrame, group: str, key: str, carry: tuple[str, ...] = (), where: Column | None = None, block: int = 512) -> DataFrame:
@@ -37,6 +37,27 @@ def pairs_within(members: DataFrame, group: str, key: str, carry: tuple[str, ...
     return met.filter(F.col(f"{key}_a") != F.col(f"{key}_b")).select(group, *out)
 
 
-def small_side(df: DataFrame, rows: int, limit: int = BROADCAST_IDS) -> DataFrame:
-    """``df`` marked for broadcast if its counted ``rows`` are few enough, else left to a shuffle join."""
-    return F.broadcast(df) if rows <= limit else df
+def small_side(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """``df`` marked for broadcast if its measured bytes stay within the limit, else left to a shuffle join.
+
+    Measuring is a job of its own, so ``df`` should be a stored result; its columns are scalars.
+    """
+    texts = [F.octet_length(f.name) for f in df.schema.fields if f.dataType.typeName() in ("string", "binary")]
+    row = F.lit(16 + 8 * len(df.columns)).cast("long")
+    for size in texts:
+        row = row + F.coalesce(size, F.lit(0))
+    return F.broadcast(df) if (df.agg(F.sum(row)).first()[0] or 0) <= limit else df
+
+
+def looked_up(left: DataFrame, right: DataFrame, on: list[str], key: str, limit: int = BROADCAST_BYTES, salts: int = 32) -> DataFrame:
+    """Inner join of ``left`` with ``right``, whose ``on`` is unique, without a hot task.
+
+    Within the limit ``right`` is broadcast; beyond it the rows of a hot value are dealt out by the hash of ``key`` and meet a copy
+    of their row of ``right`` each.
+    """
+    side = small_side(right, limit)
+    if side is not right:
+        return left.join(side, on)
+    dealt = left.withColumn("_salt", F.pmod(F.xxhash64(key), F.lit(salts)).cast("int"))
+    copies = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return dealt.join(copies, [*on, "_salt"]).drop("_salt")
