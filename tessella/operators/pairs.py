@@ -61,3 +61,24 @@ def looked_up(left: DataFrame, right: DataFrame, on: list[str], key: str, limit:
     dealt = left.withColumn("_salt", F.pmod(F.xxhash64(key), F.lit(salts)).cast("int"))
     copies = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return dealt.join(copies, [*on, "_salt"]).drop("_salt")
+
+
+def expanded(links: DataFrame, classes: DataFrame, copies: DataFrame, block: int = 512) -> DataFrame:
+    """(id_a, id_b), id_a < id_b: each link (a, b) between representatives as the pairs of the rows they stand for.
+
+    ``classes`` has (rep, n) of the representatives of n > 1 rows and ``copies`` (rep, n, id) of these rows, the representative
+    included. A class of n rows is laid out in ceil(n / block) blocks, so a hot class is spread over as many join keys.
+    """
+    blocks = F.ceil(F.col("n") / block).cast("int")
+    members = copies.select("rep", F.pmod(F.xxhash64("id"), blocks).cast("int").alias("block"), "id")
+    links = links.select("a", "b")
+    for side in ("a", "b"):
+        links = links.join(classes.select(F.col("rep").alias(side), blocks.alias(f"n{side}")), side, "left")
+    alone = links.filter("na is null and nb is null").select("a", "b")
+    spread = links.filter("na is not null or nb is not null")
+    for side in ("a", "b"):
+        own = members.select(F.col("rep").alias(side), F.col("block").alias(f"block_{side}"), F.col("id").alias(f"m{side}"))
+        spread = spread.withColumn(f"block_{side}", F.explode(F.sequence(F.lit(0), F.coalesce(f"n{side}", F.lit(1)) - 1)))
+        spread = spread.join(own, [side, f"block_{side}"], "left")
+    between = spread.select(F.coalesce("ma", "a").alias("a"), F.coalesce("mb", "b").alias("b")).unionByName(alone)
+    return between.select(F.least("a", "b").alias("id_a"), F.greatest("a", "b").alias("id_b"))
