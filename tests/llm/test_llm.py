@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tessella.llm import answers, canonical, forms, mixing, neardup, packing, registry, scans, sentences, textform, tokens
 
-ODD = ["ȩ́a", "각x", "Å½①ﬁ Ⅱ℃", "ｶﾞ", "क़ো", "a\r\nb­", "", "́a", "q̣̇", "각́ё ё", "각", "̈́ḉ", "ΩÅ", "\U0001d15e x", "ＡＢ　c", "ко́т", "x²x₂①", "​﻿"]
+ODD = ["ȩ́a", "각x", "Å½①ﬁ Ⅱ℃", "ｶﾞ", "क़ো", "a\r\nb­", "", "́a", "q̣̇", "각́ё ё", "각", "̈́ḉ", "ΩÅ", "\U0001d15e x", "ＡＢ　c", "ко́т", "x²x₂①", "​﻿", "e​́ a­̧́ q​̣​̇", "ᄀ​ᅡ﻿ᆨ"]
 
 
 # ------------------------------------------------------------------ problem 2
@@ -38,6 +38,12 @@ def test_print_alike_pairs(spark):
     assert textform.print_alike_pairs(spark.createDataFrame([], "id long, content string")).count() == 0
 
 
+def test_many_equal_stems_and_one_variant(spark):
+    rows = spark.range(20000).select("id", F.lit("求 x，y").alias("content")).union(spark.createDataFrame([(50000, "求 x,y"), (50001, "求 ｘ,y")], "id long, content string"))
+    got = textform.print_alike_pairs(rows)
+    assert got.count() == 40001 and got.filter("id_a >= id_b").isEmpty() and got.distinct().count() == 40001
+
+
 # ------------------------------------------------------------------ problem 3
 
 
@@ -98,6 +104,7 @@ def test_canonical_values_leave_out_blanks_and_exact_ones(spark, data):
         ("questions", 2, "category_knowledge", "2.1 复数四则演算"), ("questions", 3, "category_chapter", "2. 复数平面初步"),
         ("question_curriculums", 7, "chapter", "第一章 指对运算与增长"), ("question_curriculums", 8, "chapter", ""),
     }
+    assert {tuple(r) for r in canonical.canonical_values(q, c, tree, limit=0).collect()} == got  # the way beyond the broadcast limit
     assert canonical.canonical_values(q.limit(0), c.limit(0), tree).count() == 0
 
 
@@ -115,7 +122,9 @@ def test_near_duplicates_equal_brute_force(spark, data):
     edited = q.limit(9).withColumn("id", F.col("id") + 200000).withColumn("content", F.concat("content", F.lit("另加几字")))
     df = q.unionByName(extra).unionByName(again).unionByName(edited)
     found = neardup.NearDuplicates(df)
-    got = {tuple(r) for r in found.pairs().collect()}
+    ways = [found, neardup.NearDuplicates(df, exact=True), neardup.NearDuplicates(df, collections=8, width=1, reach=4, deviations=None)]
+    got, *others = [{tuple(r) for r in x.pairs().collect()} for x in ways]
+    assert others[0] == got and others[1] <= got
     texts = {r.id: r.content + " " + (r.source or "") if r.content else " " + (r.source or "") for r in df.collect()}
     keys = {i: "".join(c for c in forms.common_form_py(t).lower() if unicodedata.category(c)[0] in "LN") for i, t in texts.items()}
     sets = {i: grams(k) for i, k in keys.items() if len(k) >= 3}
@@ -126,6 +135,40 @@ def test_near_duplicates_equal_brute_force(spark, data):
     assert neardup.NearDuplicates(df.limit(0)).pairs().count() == 0
 
 
+def test_key_texts_of_any_characters():
+    import random
+
+    import numpy as np
+
+    rng = random.Random(1)
+    every = [chr(c) for c in range(0x30000) if not 0xD800 <= c <= 0xDFFF and unicodedata.category(chr(c)) not in ("Cn", "Co")]
+    texts = ODD + ["".join(rng.choices(every, k=rng.randint(0, 6))) for _ in range(5000)] + ["数列ABc"]
+    rng.shuffle(texts)
+    letters, sizes = neardup.key_letters(texts)
+    joined, ends = letters.tobytes().decode("utf-32-le"), np.cumsum(sizes)
+    assert [joined[e - n : e] for e, n in zip(ends, sizes, strict=True)] == [neardup.key_text(t) for t in texts]
+
+
+def test_exact_pairs_of_drifting_records(spark):
+    base = "".join(chr(0x4E00 + 7 * k) for k in range(60))
+    rows = [(k, base[:k] + chr(0x7000 + k) * 3 + base[k:], "") for k in range(40)] + [(100 + k, base[k : k + 40], "") for k in range(20)]
+    sets = {i: grams(t) for i, t, _ in rows}
+    for s in (0.5, 0.7, 0.8, 1.0):
+        got = {tuple(r) for r in neardup.NearDuplicates(spark.createDataFrame(rows, "id long, content string, source string"), similarity=s, exact=True).pairs().collect()}
+        assert got == {(a, b) for a, b in itertools.combinations(sorted(sets), 2) if len(sets[a] & sets[b]) >= s * len(sets[a] | sets[b])}
+
+
+def test_a_hot_class_of_copies_is_expanded_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "BLOCK", 7)
+    text = "已知函数的图像关于原点对称且在区间上单调递增求参数的取值范围并说明理由"
+    rows = [(k, text, "") for k in range(40)] + [(100 + k, text + "另", "") for k in range(25)] + [(200, text + "另加", "")]
+    found = neardup.NearDuplicates(spark.createDataFrame(rows, "id long, content string, source string"))
+    ids = [r[0] for r in rows]
+    got = [tuple(r) for r in found.pairs().collect()]
+    assert sorted(got) == sorted(itertools.combinations(ids, 2))
+    assert {r.id: (r.group_id, r.n_links) for r in found.groups().collect()} == {i: (0, 2) for i in ids}
+
+
 def test_pairs_just_close_enough_are_met(spark):
     import numpy as np
 
@@ -166,7 +209,7 @@ def test_defects(judged):
 
 def test_refusals_of_any_length_and_with_formulas():
     question = "Solve $x^2=4$ for $x$."
-    judge = lambda s: answers.classify([1], [question], [s], None, None)
+    judge = lambda s: answers.classify([1], [question], [s], None)[0]
     assert answers.is_refusal("I cannot help with solving $x^2=4$.")
     assert judge("I cannot help with this. You asked about $x^2=4$ and $x$.") == [(1, "refusal")]
     assert judge("抱歉，我无法解答这道题。" + "请向老师询问，或者查阅课本中的相关章节。" * 40) == [(1, "refusal")]
