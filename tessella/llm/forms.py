@@ -117,29 +117,3 @@ def compose_rows() -> list[tuple[str, str, str]]:
 def single_map() -> tuple[str, str, str]:
     """(from, to, dropped): code points of the basic plane that stand for exactly one, or for none."""
     return _tables()[1:]
-
-
-@lru_cache(maxsize=1)
-def letters_map() -> tuple[str, str]:
-    """(from, to) of a replacement that leaves the letters and digits of the common form in lower case, for the basic plane.
-
-    Code points beyond ``to`` are dropped. Those that stand for several code points keep what ``translate`` can't do.
-    """
-    frm, to, dropped = single_map()
-    single = dict(zip(frm, to, strict=True)) | dict.fromkeys(dropped, "")
-    changed_from, changed_to, gone = [], [], []
-    for cp in range(0x10000):
-        if 0xD800 <= cp <= 0xDFFF:
-            continue
-        ch = chr(cp)
-        form = single.get(ch, ch)
-        if form and unicodedata.category(form)[0] not in "LN":
-            form = ""
-        low = form.lower()
-        low = low if len(low) == 1 else form
-        if not low:
-            gone.append(ch)
-        elif low != ch:
-            changed_from.append(ch)
-            changed_to.append(low)
-    return "".join(changed_from) + "".join(gone), "".join(changed_to)

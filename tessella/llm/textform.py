@@ -21,8 +21,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessella.llm import forms
-from tessella.operators.pairs import pairs_within, small_side
-from tessella.plans.lineage import cut
+from tessella.operators.pairs import expanded, pairs_within, small_side
+from tessella.plans.lineage import cut, stored
 
 
 #: Blocks of everyday letters and signs; the pattern below may take in other code points, but none of these needlessly.
@@ -113,9 +113,20 @@ def exploded_form(texts: DataFrame, key: str, text: str, out: str) -> DataFrame:
     return clusters.groupBy(key).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("cluster", "s"))), lambda x: x["s"]), "").alias(out))
 
 
+@lru_cache(maxsize=1)
 def _stretches() -> str:
-    """Pattern of a character and the code points behind it that need exploding; what stands between is independent."""
-    return rf"(?s).?(?:{_needs_explode()})++"
+    """Pattern of a character and the code points behind it that need exploding; what stands between is independent.
+
+    Characters without a glyph may stand between the two, since they go and the others meet.
+    """
+    runs: list[list[int]] = [[0xE0000, 0xE0FFF]]
+    for cp in sorted(map(ord, forms.single_map()[2])):
+        if runs[-1][1] == cp - 1:
+            runs[-1][1] = cp
+        else:
+            runs.append([cp, cp])
+    gone = r"(?![\x20-\x7E\x{3000}-\x{30FF}\x{4E00}-\x{9FFF}\x{FF01}-\x{FF5E}])[" + "".join(f"\\x{{{x:X}}}-\\x{{{y:X}}}" for x, y in runs) + "]"
+    return rf"(?s)(?:(?!{gone}).)?(?:(?:{gone})*(?:{_needs_explode()}))++"
 
 
 def common_form(df: DataFrame, text: str, out: str, explode_all: bool = False) -> DataFrame:
@@ -138,30 +149,24 @@ def common_form(df: DataFrame, text: str, out: str, explode_all: bool = False) -
     placed = found.select("__form_key", F.posexplode("_s").alias("_pos", "__stretch")).withColumn("__stretch_key", F.unhex(F.md5("__stretch")))
     distinct = placed.groupBy("__stretch_key").agg(F.min("__stretch").alias("__stretch"))  # code points carry a short key, not the stretch
     made = cut(exploded_form(distinct, "__stretch_key", "__stretch", "__made"))
-    placed = placed.drop("__stretch").join(small_side(made, made.count()), "__stretch_key", "left")
+    placed = placed.drop("__stretch").join(small_side(made), "__stretch_key", "left")
     made_of = placed.groupBy("__form_key").agg(F.transform(F.sort_array(F.collect_list(F.struct("_pos", F.coalesce("__made", F.lit("")).alias("f")))), lambda x: x["f"]).alias("__forms"))
     between = F.transform(F.split(c, _stretches()), lambda p, k: F.concat(_replaced(p), F.coalesce(F.try_element_at(F.col("__forms"), k + 1), F.lit(""))))
     slow = rest.join(made_of, "__form_key").withColumn(out, F.array_join(between, "")).select(*kept, out)
     return plain.select(*kept, out).unionByName(slow)
 
 
-def letters_form(df: DataFrame, text: str, out: str) -> DataFrame:
-    """``df`` with the letters and digits of the common form of ``text``, in lower case, in column ``out``.
+def print_alike_pairs(df: DataFrame, key: str = "id", text: str = "content", explode_all: bool = False) -> DataFrame:
+    """(id_a, id_b), id_a < id_b: rows whose stored text differs but prints the same. Null texts give no pair.
 
-    The same as filtering ``common_form``; texts that need no exploding and have no characters beyond the basic plane
-    take one replacement.
+    The different texts of a form are paired, then each with the rows that hold it, in blocks.
     """
-    frm, to = forms.letters_map()
-    c = F.col(text)
-    whole = F.coalesce(c.rlike(_needs_explode()) | c.rlike(r"[\x{10000}-\x{10FFFF}İ]"), F.lit(False))
-    plain = df.filter(~whole).withColumn(out, F.translate(c, frm, to))
-    rest = common_form(df.filter(whole), text, out).withColumn(out, F.regexp_replace(F.lower(out), r"[^\p{L}\p{N}]+", ""))
-    return plain.unionByName(rest)
-
-
-def print_alike_pairs(df: DataFrame, key: str = "id", text: str = "content") -> DataFrame:
-    """(id_a, id_b), id_a < id_b: rows whose stored text differs but prints the same. Null texts give no pair."""
-    rows = common_form(df.filter(F.col(text).isNotNull()).select(F.col(key).alias("id"), F.col(text).alias("_text")), "_text", "_form")
-    rows = cut(rows.select("id", F.unhex(F.md5("_form")).alias("_g"), F.xxhash64("_text").alias("_raw")))
+    rows = common_form(df.filter(F.col(text).isNotNull()).select(F.col(key).alias("id"), F.col(text).alias("_text")), "_text", "_form", explode_all)
+    rows = stored(rows.select("id", F.unhex(F.md5("_form")).alias("_g"), F.xxhash64("_text").alias("_raw")))
+    texts = rows.groupBy("_g", "_raw").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n"))
     varied = rows.groupBy("_g").agg(F.min("_raw").alias("lo"), F.max("_raw").alias("hi")).filter("lo != hi").select("_g")
-    return pairs_within(rows.join(varied, "_g", "left_semi"), "_g", "id", ("_raw",), F.col("_raw_a") != F.col("_raw_b")).select("id_a", "id_b")
+    texts = cut(texts.join(varied, "_g", "left_semi"))
+    links = pairs_within(texts, "_g", "rep").select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"))
+    several = texts.filter("n > 1")
+    copies = rows.join(small_side(several), ["_g", "_raw"]).select("rep", "n", "id")
+    return expanded(links, several.select("rep", "n"), copies)
