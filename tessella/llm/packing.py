@@ -1,10 +1,10 @@
 """Problem 6: containers of fixed capacity filled with items of varying size.
 
 Method: a grouping genetic algorithm. A gene is a container; crossover injects whole well-filled containers of one
-parent into the other, removes the containers that hold an item twice, and puts the displaced items back by best fit.
-Items are spread by hash over blocks of bounded size; each block is evolved by several islands, groups of their own in
-the cluster, and after each epoch an island gets the elite of its neighbour. Containers left poorly filled are emptied
-and their items packed again in fewer blocks, so that little is lost between blocks.
+parent into the other, removes the containers that hold an item twice, empties some poorly filled ones, and puts the displaced items
+back by best fit. Items are spread by hash over blocks of bounded size; each block is evolved by several islands, rows of their own in
+the cluster, each with a population. After each epoch an island gets the elite of its neighbour in place of its worst solution.
+Containers left poorly filled are emptied and their items packed again in fewer blocks, so that little is lost between blocks.
 
 An item larger than the capacity is cut into full containers and a rest; no other item is split. Items of size 0 and
 null texts (size 0) are placed too. Ties are settled by seeded random numbers, so results repeat.
@@ -13,19 +13,23 @@ null texts (size 0) are placed too. Ties are settled by seeded random numbers, s
 from __future__ import annotations
 
 from bisect import bisect_left, insort
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.plans.lineage import cut
+from tessella.plans.lineage import cut, stored
 
 BLOCK_ITEMS = 2000
-ISLANDS = 2
-EPOCHS = 2
-POPULATION = 3
-OFFSPRING = 4
+ISLANDS = 3
+EPOCHS = 3
+POPULATION = 6
+#: Crossovers of an island in an epoch.
+OFFSPRING = 20
+#: Share of a parent's containers that are injected, and of the other's that are emptied.
+INJECTED, EMPTIED = 0.15, 0.05
 #: Containers filled below this are emptied for the next round.
 POOR = 0.97
 ROUNDS = 2
@@ -68,89 +72,112 @@ def first_solution(sizes: np.ndarray, capacity: int, rng: np.random.Generator, n
 
 def crossover(a: np.ndarray, b: np.ndarray, sizes: np.ndarray, capacity: int, rng: np.random.Generator) -> np.ndarray:
     """Inject well-filled containers of ``b`` into ``a``; displaced items go back by best fit."""
-    fill = np.bincount(b, sizes) / capacity
-    good = np.flatnonzero(fill >= np.quantile(fill, 0.4))
+    fill = np.bincount(b, sizes)
+    good = np.argsort(-fill * (1 + 0.1 * rng.random(len(fill))))[: len(fill) // 2 + 1]
     chosen = np.zeros(len(fill), bool)
-    chosen[good[rng.random(len(good)) < 0.5]] = True
+    chosen[rng.choice(good, max(1, min(len(good), int(INJECTED * len(fill)))), replace=False)] = True
     injected = chosen[b]
-    hit = np.zeros(int(a.max()) + 1, bool)
+    loads = np.bincount(a, sizes)
+    hit = np.zeros(len(loads), bool)
     hit[a[injected]] = True
-    weak = np.bincount(a, sizes, minlength=len(hit)) < 0.9 * capacity
-    hit |= weak & (rng.random(len(hit)) < 0.5)  # mutation: poorly filled containers are emptied too
+    hit[np.argsort(loads * (1 + 0.1 * rng.random(len(loads))))[: max(1, int(EMPTIED * len(loads)))]] = True  # mutation
     displaced = hit[a] & ~injected
     where = np.where(injected, b + len(hit), a)
     kept = ~displaced
     where[kept] = compact(where[kept])
     loads = np.bincount(where[kept], sizes[kept]).astype(np.int64).tolist() if kept.any() else []
     items = np.flatnonzero(displaced)
-    best_fit(sizes, items[np.argsort(-sizes[items], kind="stable")], capacity, where, loads)
+    best_fit(sizes, items[np.argsort(-sizes[items] * (1 + 0.05 * rng.random(len(items))), kind="stable")], capacity, where, loads)
     return where
 
 
-def evolve(sizes: np.ndarray, capacity: int, population: list[np.ndarray], rng: np.random.Generator, offspring: int = OFFSPRING) -> np.ndarray:
-    """The best solution after ``offspring`` crossovers, each taking the place of the worst if it is better."""
-    scored = [(fitness(p, sizes, capacity), p) for p in population]
-    for _ in range(offspring):
-        if len(scored) < 2:
-            break
-        i, j = rng.permutation(len(scored))[:2]
-        child = crossover(scored[i][1], scored[j][1], sizes, capacity, rng)
+def evolve(sizes: np.ndarray, capacity: int, population: list[np.ndarray], rng: np.random.Generator, offspring: int = OFFSPRING) -> list[np.ndarray]:
+    """The population after ``offspring`` crossovers, best first. Parents are the better of two drawn; a child takes the place of the worst if it is better."""
+    scored = sorted(((fitness(p, sizes, capacity), k, p) for k, p in enumerate(population)), reverse=True)
+    made = len(scored)
+    for _ in range(offspring if len(scored) > 1 else 0):
+        i, j = (int(min(rng.choice(len(scored), 2))) for _ in range(2))
+        if i == j:
+            j = (i + 1) % len(scored)
+        child = crossover(scored[i][2], scored[j][2], sizes, capacity, rng)
         f = fitness(child, sizes, capacity)
-        worst = min(range(len(scored)), key=lambda k: scored[k][0])
-        if f > scored[worst][0]:
-            scored[worst] = (f, child)
-    return max(scored, key=lambda x: x[0])[1]
+        if f > scored[-1][0]:
+            scored[-1] = (f, made, child)
+            made += 1
+            scored.sort(reverse=True)
+    return [p for _, _, p in scored]
 
 
 def lower_bound(sizes: np.ndarray, capacity: int) -> int:
     return -(-int(sizes.sum()) // capacity)
 
 
-def _island(key: tuple, table: pa.Table) -> pa.Table:
-    """One epoch of one island: of each item the containers it has in the solutions that live here, -1 when there is none yet."""
-    spec, capacity, block, island, epoch = (k.as_py() for k in key)
-    table = table.sort_by([("doc_id", "ascending"), ("part", "ascending"), ("origin", "ascending")])
-    origins = np.array(table.column("origin"))
-    first = origins == origins.min()
-    sizes = np.array(table.column("size"))[first].astype(np.int64)
-    rng = np.random.default_rng([spec, capacity, block, island, epoch])
-    bins = np.array(table.column("bin"))
-    population = [compact(bins[origins == o]) for o in np.unique(origins) if bins[origins == o].min(initial=0) >= 0]
-    if not population:
-        population = [first_solution(sizes, capacity, rng, 0.0 if k == 0 else 0.3 * k / POPULATION) for k in range(POPULATION)]
-    best = population[int(np.argmax([fitness(p, sizes, capacity) for p in population]))]
-    if len(np.unique(best)) > lower_bound(sizes, capacity):
-        best = evolve(sizes, capacity, population, rng)
-    best = compact(best)
-    n = len(sizes)
-    one = table.filter(pa.array(first))
-    score = fitness(best, sizes, capacity)
-    loads = np.bincount(best, sizes)
-    return pa.table(
-        {
-            "spec_id": one.column("spec_id"), "capacity": one.column("capacity"), "block": one.column("block"), "island": one.column("island"),
-            "doc_id": one.column("doc_id"), "part": one.column("part"), "size": one.column("size"),
-            "bin": pa.array(best), "fill": pa.array(loads[best] / capacity), "score": pa.array(np.full(n, score)),
-        }
-    )
-
-
-SOLUTION = "spec_id long, capacity long, block long, island int, doc_id long, part int, size long, bin long, fill double, score double"
+BLOCK = "spec_id long, capacity long, block long, doc_id binary, part binary, size binary"
+STATE = BLOCK + ", island int, population binary, elite binary, score double"
+
+
+def _block(key: tuple, table: pa.Table) -> pa.Table:
+    """One row for all items of a block, in order of their ids; a block is bounded."""
+    table = table.sort_by([("doc_id", "ascending"), ("part", "ascending")])
+    packed = {c: pa.array([np.array(table.column(c)).astype(t).tobytes()], pa.binary()) for c, t in (("doc_id", np.int64), ("part", np.int32), ("size", np.int32))}
+    return pa.table({**{c: pa.array([k.as_py()], pa.int64()) for c, k in zip(("spec_id", "capacity", "block"), key, strict=True)}, **packed})
+
+
+def _epoch(epoch: int):
+    """Evolve every island of a batch; its population may hold the elite of its neighbour in place of its worst."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                sizes = np.frombuffer(row["size"], np.int32).astype(np.int64)
+                capacity = row["capacity"]
+                rng = np.random.default_rng([row["spec_id"], capacity, row["block"], row["island"], epoch])
+                if row["population"] is None:
+                    population = [first_solution(sizes, capacity, rng, 0.3 * k / POPULATION if k else 0.3 * (row["island"] > 0)) for k in range(POPULATION)]
+                else:
+                    population = list(np.frombuffer(row["population"], np.int32).reshape(-1, len(sizes)).astype(np.int64))
+                if row["elite"] is not None:
+                    population[-1] = np.frombuffer(row["elite"], np.int32).astype(np.int64)
+                population = [compact(p) for p in evolve(sizes, capacity, population, rng)]
+                row |= {"population": np.concatenate(population).astype(np.int32).tobytes(), "elite": population[0].astype(np.int32).tobytes(), "score": fitness(population[0], sizes, capacity)}
+                yield pa.RecordBatch.from_pylist([row], batch.schema)
+
+    return run
+
+
+def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The items of solved blocks with their containers and how far these are filled."""
+    for batch in batches:
+        for row in batch.to_pylist():
+            size, bins = np.frombuffer(row["size"], np.int32).astype(np.int64), np.frombuffer(row["elite"], np.int32).astype(np.int64)
+            n = len(size)
+            of = lambda c: pa.array(np.full(n, row[c], np.int64))  # noqa: B023, E731
+            yield pa.record_batch(
+                [
+                    of("spec_id"), of("capacity"), of("block"), pa.array(np.frombuffer(row["doc_id"], np.int64)), pa.array(np.frombuffer(row["part"], np.int32)),
+                    pa.array(size), pa.array(bins), pa.array(np.bincount(bins, size)[bins] / row["capacity"]),
+                ],
+                ["spec_id", "capacity", "block", "doc_id", "part", "size", "bin", "fill"],
+            )
+
+
+SOLUTION = "spec_id long, capacity long, block long, doc_id long, part int, size long, bin long, fill double"
 
 
 def _packed(items: DataFrame, blocks: int) -> DataFrame:
     """Items in the containers of the best island of their block."""
     placed = items.withColumn("block", F.pmod(F.xxhash64("doc_id", "part"), F.lit(blocks)))
-    alive = placed.withColumn("island", F.explode(F.sequence(F.lit(0), F.lit(ISLANDS - 1)))).withColumn("origin", F.lit(0)).withColumn("bin", F.lit(-1).cast("long"))
-    group = ["spec_id", "capacity", "block", "island", "epoch"]
+    rows = placed.groupBy("spec_id", "capacity", "block").applyInArrow(_block, BLOCK)
+    island = ["spec_id", "capacity", "block", "island"]
+    none = F.lit(None).cast("binary")
+    state = rows.withColumn("island", F.explode(F.sequence(F.lit(0), F.lit(ISLANDS - 1)))).withColumn("population", none).withColumn("elite", none).withColumn("score", F.lit(0.0)).repartition(*island)
     for epoch in range(EPOCHS):
-        solved = alive.withColumn("epoch", F.lit(epoch)).groupBy(*group).applyInArrow(_island, SOLUTION)
-        if epoch < EPOCHS - 1:  # each island keeps its elite and gets that of the island before
-            moves = F.array(F.struct(F.col("island").alias("to"), F.lit(0).alias("origin")), F.struct(F.pmod(F.col("island") + 1, F.lit(ISLANDS)).alias("to"), F.lit(1).alias("origin")))
-            alive = solved.withColumn("m", F.explode(moves)).withColumn("island", F.col("m.to")).withColumn("origin", F.col("m.origin")).drop("m", "fill", "score")
-    solved = cut(solved)
-    best = solved.groupBy("spec_id", "block").agg(F.max(F.struct("score", (-F.col("island")).alias("k"))).alias("b")).select("spec_id", "block", (-F.col("b.k")).alias("island"))
-    return solved.join(best, ["spec_id", "block", "island"])
+        state = stored(state.mapInArrow(_epoch(epoch), STATE))
+        if epoch < EPOCHS - 1:
+            moving = state.select("spec_id", "capacity", "block", F.pmod(F.col("island") + 1, F.lit(ISLANDS)).alias("island"), "elite")
+            state = state.drop("elite").join(moving, island).select(*state.columns)
+    best = state.groupBy("spec_id", "capacity", "block").agg(F.max_by(F.struct("doc_id", "part", "size", "elite"), F.struct("score", -F.col("island"))).alias("b"))
+    return stored(best.select("spec_id", "capacity", "block", "b.*").mapInArrow(_unpacked, SOLUTION))
 
 
 def pack(sizes: DataFrame, specs: DataFrame, key: str = "doc_id", size: str = "n_tokens") -> DataFrame:
