@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessella.llm.textform import _replaced
-from tessella.operators.pairs import small_side
+from tessella.operators.pairs import BROADCAST_BYTES, looked_up, small_side
 from tessella.plans.lineage import cut
 
 MAX_EDITS = 2
@@ -68,7 +68,7 @@ def _segment(length: Column, part: Column, parts: int) -> tuple[Column, Column]:
 def match(values: DataFrame, entries: DataFrame, edits: int = MAX_EDITS) -> DataFrame:
     """(list, value, entry, distance) of every distinct (list, value); entry is '' and distance null where none is near.
 
-    ``entries`` has (list, entry, ord) and is a bounded reference list.
+    ``entries`` has (list, entry, ord) and is a reference list; its segments are broadcast if their bytes allow it.
     """
     parts = edits + 1
     refs = entries.filter(F.col("entry").isNotNull()).groupBy("list", "entry").agg(F.min("ord").alias("ord"))
@@ -83,7 +83,7 @@ def match(values: DataFrame, entries: DataFrame, edits: int = MAX_EDITS) -> Data
     start, size = _segment(F.col("len"), F.col("part"), parts)
     probes = probes.filter((start + F.col("shift") >= 1) & (start + F.col("shift") + size <= n + 1))
     probes = probes.withColumn("seg", F.substring(F.col("core"), start + F.col("shift"), size)).drop("shift")
-    near = probes.join(small_side(cuts, refs.count() * parts), ["list", "len", "part", "seg"])
+    near = probes.join(small_side(cuts), ["list", "len", "part", "seg"])
     near = near.withColumn("distance", F.levenshtein("core", "ref_core", edits)).filter((F.col("distance") >= 0) & (F.col("distance") <= F.floor((F.col("len") - 1) / 2)))
     rank = F.struct("distance", (F.col("number") != F.col("ref_number")).alias("other"), "ord", "entry")
     best = near.groupBy("list", "value").agg(F.min(rank).alias("best")).select("list", "value", F.col("best.entry").alias("entry"), F.col("best.distance").alias("distance"))
@@ -115,11 +115,14 @@ def reference_list(tree: DataFrame) -> DataFrame:
     return tree.select(F.explode(both).alias("x"), ord_.alias("ord")).select("x.list", "x.entry", "ord").groupBy("list", "entry").agg(F.min("ord").alias("ord"))
 
 
-def canonical_values(questions: DataFrame, curriculums: DataFrame, tree: DataFrame) -> DataFrame:
-    """(table_name, row_id, field, entry): one row per value that isn't exactly an entry; entry '' when none is meant."""
+def canonical_values(questions: DataFrame, curriculums: DataFrame, tree: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """(table_name, row_id, field, entry): one row per value that isn't exactly an entry; entry '' when none is meant.
+
+    The entries found are broadcast up to ``limit`` bytes; beyond it hot values are dealt out over several tasks.
+    """
     entries = reference_list(tree)
     values = typed_values(questions, curriculums)
     exact = entries.select("list", F.col("entry").alias("value"))
-    values = values.join(small_side(exact, exact.count()), ["list", "value"], "left_anti")
+    values = values.join(small_side(exact), ["list", "value"], "left_anti")
     matched = cut(match(values, entries).select("list", "value", "entry"))
-    return values.join(small_side(matched, matched.count()), ["list", "value"]).select("table_name", "row_id", "field", "entry")
+    return looked_up(values, matched, ["list", "value"], "row_id", limit).select("table_name", "row_id", "field", "entry")
