@@ -89,7 +89,9 @@ class Reader:
             self.count(), self.byte()
         elif tag == 9:
             n = self.byte()
-            if n in (101, 100):
+            if n == 101:
+                self.short()
+            elif n == 100:
                 self.byte(), self.short()
             else:
                 self.byte()

@@ -5,15 +5,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessella.functions.latex import safe_asset
+from tessella.functions.parsers import restore_locks
 from tessella.functions.values import py_strip
 
+# What a text looks like where formulas were lost from it.
 LOSS_PATTERNS = (
     r"(?U)\bA\.\s*B\.\s*C\.\s*D\.",
     r"(?:设|已知|若|满足)\s*[，,]\s*(?:[，,]\s*)*(?:为|满足|则|已知)",
     r"对边分别为\s*[，,]\s*[，,]",
     r"使得\s*”\s*是\s*“\s*”\s*的",
 )
-IMAGE_URL = r"!\[[^\]]*\]\((/static/uploads/[^)]+)\)"
+ANY_IMAGE = r"!\[[^\]]*\]\(([^)]+)\)"
+# Fixed value: where uploaded files lie, in a reference.
+UPLOADS = "^(?:static/)?uploads/"
 
 
 def formula_loss(text: Column, images: Column) -> Column:
@@ -60,13 +65,26 @@ def shingles(c: Column) -> Column:
 def attributed(questions: DataFrame, pages: DataFrame) -> DataFrame:
     """(doc_id, q, page_index): the page each question shares most shingles with, the first of equals, 0 when none.
 
-    Questions and pages meet in an equality join on document and shingle.
+    Each shingle of a document is one row with the pages that hold it, hashed to 64 bits. One that stands on most pages of its
+    document counts for all of them, and against the few that lack it; so a shingle common to a paper costs next to nothing.
     """
-    q = questions.select("doc_id", "q", F.explode(shingles(F.col("content"))).alias("g"))
-    p = pages.select("doc_id", "page_index", F.explode(shingles(F.col("markdown"))).alias("g"))
-    overlap = q.join(p, ["doc_id", "g"]).groupBy("doc_id", "q", "page_index").agg(F.count(F.lit(1)).alias("n"))
-    best = overlap.groupBy("doc_id", "q").agg(F.max(F.struct("n", (-F.col("page_index")).alias("m"))).alias("b"))
-    return questions.select("doc_id", "q").join(best, ["doc_id", "q"], "left").select("doc_id", "q", F.coalesce(-F.col("b.m"), F.lit(0)).cast("int").alias("page_index"))
+    q = questions.select("doc_id", "q", F.explode(F.transform(shingles(F.col("content")), lambda x: F.xxhash64(x))).alias("g"))
+    p = pages.select("doc_id", "page_index", F.explode(F.transform(shingles(F.col("markdown")), lambda x: F.xxhash64(x))).alias("g"))
+    every = pages.groupBy("doc_id").agg(F.array_sort(F.collect_set("page_index")).alias("every"))
+    holds = p.groupBy("doc_id", "g").agg(F.collect_set("page_index").alias("on")).join(every, "doc_id")
+    most = F.size("on") * 2 > F.size("every")
+    holds = holds.select("doc_id", "g", most.cast("int").alias("most"), F.when(most, F.array_except("every", "on")).otherwise(F.col("on")).alias("some"))
+    met = q.join(holds, ["doc_id", "g"])
+    base = met.groupBy("doc_id", "q").agg(F.sum("most").alias("base"))
+    change = met.select("doc_id", "q", F.explode("some").alias("page_index"), (1 - 2 * F.col("most")).alias("d"))
+    change = change.groupBy("doc_id", "q", "page_index").agg(F.sum("d").alias("d")).filter("d != 0")
+    best = change.groupBy("doc_id", "q").agg(F.max(F.struct("d", (-F.col("page_index")).alias("m"))).alias("b"), F.collect_list("page_index").alias("changed"))
+    found = questions.select("doc_id", "q").join(base, ["doc_id", "q"], "left").join(best, ["doc_id", "q"], "left").join(every, "doc_id", "left")
+    even = F.array_min(F.when(F.col("changed").isNull(), F.col("every")).otherwise(F.array_except("every", "changed")))  # the first page that is neither more nor less
+    d, own = F.coalesce("b.d", F.lit(0)), -F.col("b.m")
+    winner = F.when((d > 0) | even.isNull(), own).otherwise(even)
+    shared = F.coalesce("base", F.lit(0)) + F.when((d > 0) | even.isNull(), d).otherwise(0)
+    return found.select("doc_id", "q", F.when(shared > 0, winner).otherwise(0).cast("int").alias("page_index"))
 
 
 def by_rank(a: DataFrame, b: DataFrame, key: str, a_order: list[str], b_order: list[str]) -> DataFrame:
@@ -80,7 +98,9 @@ def asset_keys(path: Column) -> Column:
     """The names by which an asset is matched: whole path, base name, stem; in lower case with forward slashes."""
     p = F.lower(F.regexp_replace(F.replace(F.trim(path), F.lit("\\"), F.lit("/")), r"^\./", ""))
     base = F.regexp_extract(p, r"([^/]+)$", 1)
-    return F.array(F.concat(F.lit("p:"), p), F.concat(F.lit("b:"), base), F.concat(F.lit("s:"), F.regexp_replace(base, r"\.[^.]+$", "")))
+    stem = F.regexp_replace(base, r"\.[^.]+$", "")
+    named = lambda mark, x: F.when(x != "", F.concat(F.lit(mark), x))  # noqa: E731  a name that is empty matches nothing
+    return F.array_compact(F.array(named("p:", p), named("b:", base), named("s:", stem)))
 
 
 def matched_assets(references: DataFrame, assets: DataFrame) -> DataFrame:
@@ -97,10 +117,12 @@ def only_match(candidates: DataFrame, key: str, value: str) -> DataFrame:
 
 
 def collected_images(df: DataFrame, key: str = "id") -> DataFrame:
-    """(id, path, ord): images of the list and of the text, each once at its first place."""
-    listed = df.select(key, F.posexplode(F.coalesce(F.from_json("image_paths", "array<string>"), F.array().cast("array<string>"))).alias("ord", "path"))
-    inside = df.select(key, F.posexplode(F.regexp_extract_all("content", F.lit(IMAGE_URL), F.lit(1))).alias("o", "path")).select(key, (F.col("o") + 1000).alias("ord"), "path")
-    return listed.select(key, "ord", "path").unionByName(inside).groupBy(key, "path").agg(F.min("ord").cast("long").alias("ord"))
+    """(id, path, ord): images of the list, of the text and of the answer, each once at its first place, from 0; unsafe references are left out."""
+    listed = F.coalesce(F.from_json("image_paths", "array<string>"), F.array().cast("array<string>"))
+    text = F.concat(F.coalesce("content", F.lit("")), F.lit(" "), F.coalesce("answer_markdown", F.lit("")))
+    both = F.concat(listed, F.regexp_extract_all(text, F.lit(ANY_IMAGE), F.lit(1)))
+    safe = F.array_distinct(F.filter(F.transform(both, lambda x: F.regexp_replace(safe_asset(x), UPLOADS, "")), lambda x: x.isNotNull() & (x != "")))
+    return df.select(key, F.posexplode(safe).alias("ord", "path")).select(key, "path", F.col("ord").cast("long").alias("ord"))
 
 
 def lock_report(locks: DataFrame, texts: DataFrame) -> DataFrame:
@@ -108,12 +130,26 @@ def lock_report(locks: DataFrame, texts: DataFrame) -> DataFrame:
 
     ``locks`` has (doc_id, lock_id), ``texts`` (doc_id, t). Marks are taken out of the texts once and counted by key.
     """
-    marks = texts.select("doc_id", F.explode(F.regexp_extract_all("t", F.lit(r"MBM_[A-Za-z0-9_-]+_[0-9]{4}"), F.lit(0))).alias("lock_id"))
+    marks = texts.select("doc_id", F.explode(F.regexp_extract_all("t", F.lit(r"LOCK_[A-Za-z0-9_-]+_[0-9]{4,}"), F.lit(0))).alias("lock_id"))
     seen = marks.groupBy("doc_id", "lock_id").agg(F.count(F.lit(1)).alias("n"))
     both = locks.select("doc_id", "lock_id").join(seen, ["doc_id", "lock_id"], "left")
     return both.groupBy("doc_id").agg(F.count(F.lit(1)).alias("created"), F.count_if(F.col("n").isNull()).alias("missing"), F.count_if(F.col("n") > 1).alias("duplicated"))
 
 
+def restored_documents(texts: DataFrame, locks: DataFrame) -> DataFrame:
+    """(doc_id, pos, t, edited, error): the texts (doc_id, pos, t) of each document with the formulas of its locks (doc_id, lock_id, original) in place.
+
+    Every lock has to occur exactly once over the texts of its document, else the document is refused as a whole: its texts are null.
+    What was edited within a lock gives way to the original. A document's texts and locks are bounded.
+    """
+    own = texts.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("pos", F.coalesce("t", F.lit("")).alias("t")))).alias("x"))
+    held = locks.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("lock_id", "original"))).alias("l"))
+    both = own.join(held, "doc_id", "left").withColumn("l", F.coalesce("l", F.array().cast("array<struct<lock_id: string, original: string>>")))
+    done = both.select("doc_id", "x.pos", restore_locks(F.col("x.t"), F.col("l.lock_id"), F.col("l.original")).alias("r"))
+    each = done.select("doc_id", F.posexplode("pos").alias("k", "pos"), "r")
+    return each.select("doc_id", "pos", F.try_element_at("r.texts", F.col("k") + 1).alias("t"), "r.edited", "r.error")
+
+
 def bound_images(questions: DataFrame, mapping: DataFrame) -> DataFrame:
     """(id, content, unmapped): image references replaced by the first stored path of their name, unknown ones listed.
 

@@ -86,12 +86,37 @@ def moved(items: DataFrame, question_type: str, source: int, target: int) -> Dat
     return items.filter(F.coalesce(F.col("question_type") != question_type, F.lit(True))).select("paper_id", "pos", "id").unionByName(placed)
 
 
-def topic_selection(df: DataFrame, topics: list[str], matches, limit: int) -> DataFrame:
-    """Rows matching the topics in the order of the topics, then any others, by usage and newest id; the first ``limit``.
+POOL = 35
 
-    ``matches`` gives the condition of a topic. Each row counts once, at its first topic.
+
+def candidates(df: DataFrame, filters, review: bool, size: int = POOL) -> DataFrame:
+    """The pool a selection starts from: the least used of the filtered rows, or for a review the most used of those used at all.
+
+    Where there is none, the least used of the whole table, or for a review the newest of the filtered rows. The pool is bounded,
+    and so is its fallback, which is added in the same plan and stands only if the pool is empty.
+    """
+    own = filters.apply(df)
+    order = [F.col("usage_count").desc_nulls_last() if review else F.col("usage_count").asc_nulls_first(), F.desc("id")]
+    first = (own.filter("usage_count > 0") if review else own).orderBy(*order).limit(size).withColumn("_pool", F.lit(0))
+    other = own.orderBy(F.desc("id")) if review else df.orderBy(*order)
+    both = first.unionByName(other.limit(size).withColumn("_pool", F.lit(1)))
+    least = F.min("_pool").over(Window.partitionBy(F.lit(0)))  # at most 2 * size rows
+    return both.withColumn("_least", least).filter("_pool = _least").drop("_pool", "_least")
+
+
+def topic_selection(df: DataFrame, topics: list[str], matches, limit: int, question_type: str = "", review: bool = False, pool: DataFrame | None = None) -> DataFrame:
+    """Rows matching the topics in the order of the topics, each once at its first topic, then those of ``pool``; the first ``limit``.
+
+    ``matches`` gives the condition of a topic; only the type filters the matching rows. ``topic_place`` is the topic's number, that
+    of the pool the number of topics. Within a topic the least used come first, for a review the most used.
     """
-    place = F.lit(len(topics))
+    place = F.lit(None).cast("int")
     for k in reversed(range(len(topics))):
         place = F.when(matches(topics[k]), F.lit(k)).otherwise(place)
-    return df.withColumn("topic_place", place).orderBy("topic_place", F.col("usage_count").asc_nulls_first(), F.desc("id")).limit(limit)
+    order = [F.col("usage_count").desc_nulls_last() if review else F.col("usage_count").asc_nulls_first(), F.desc("id")]
+    own = df.filter(F.col("question_type") == question_type) if question_type else df
+    found = own.withColumn("topic_place", place).filter("topic_place is not null").orderBy("topic_place", *order).limit(limit)
+    if pool is not None:
+        known = F.broadcast(found.select("id"))  # at most ``limit`` rows
+        found = found.unionByName(pool.join(known, "id", "left_anti").withColumn("topic_place", F.lit(len(topics))).select(*found.columns))
+    return found.orderBy("topic_place", *order).limit(limit)

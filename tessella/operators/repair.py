@@ -131,3 +131,30 @@ def missing_columns(required: dict[str, list[str]], tables: dict[str, DataFrame]
     """Columns a layout lacks, by table; a missing table lacks all of its columns."""
     lacking = {t: [c for c in columns if t not in tables or c not in tables[t].columns] for t, columns in required.items()}
     return {t: c for t, c in lacking.items() if c}
+
+
+def readiness(tables: dict[str, DataFrame], layout: dict[str, list[str]], references: list[tuple[str, str, str]]) -> DataFrame:
+    """One row: how many references (table, column, parent) lead nowhere, and how many columns the layout lacks."""
+    lost = [orphans(tables[t].filter(F.col(c).isNotNull()), c, tables[p]).select(F.lit(1).alias("n")) for t, c, p in references]
+    every = lost[0]
+    for x in lost[1:]:
+        every = every.unionByName(x)
+    lacking = sum(map(len, missing_columns(layout, tables).values()))
+    return every.agg(F.count("n").alias("violations")).withColumn("missing_columns", F.lit(lacking))
+
+
+def committed(table: DataFrame, folder: str, problems: DataFrame) -> DataFrame:
+    """``table`` written beside ``folder`` and put in its place, if ``problems`` is empty; else nothing changes and the first problems are raised.
+
+    The rows are checked before the write and counted after it; a failure leaves the old table as it was.
+    """
+    from tessella.sources.snapshots import put_in_place
+
+    found = problems.limit(6).collect()
+    if found:
+        raise ValueError("change refused: " + "; ".join(str(r.asDict()) for r in found))
+    spark = table.sparkSession
+    staging = folder + ".new"
+    table.write.mode("overwrite").parquet(staging)
+    put_in_place(spark, staging, folder)
+    return spark.read.parquet(folder)

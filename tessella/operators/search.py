@@ -9,26 +9,35 @@ from pyspark.sql import functions as F
 
 from tessella.functions.values import any_like, has_answer, like_ci
 from tessella.operators.running import running_before
+from tessella.plans.lineage import stored
 
-#: Ids of one chunk of the ordinal numbering.
+#: Rows of one chunk of the numbering.
 CHUNK = 1 << 16
 KEYWORD_COLUMNS = ("content", "source", "answer_markdown", "review", "tags")
 CLI_COLUMNS = ("category_compulsory", "category_chapter", "category_knowledge", "content", "source", "tags")
 TOPIC_COLUMNS = ("content", "category_chapter", "category_knowledge", "tags")
 
 
+def in_chunks(df: DataFrame, order: list[Column], rows: int = CHUNK) -> DataFrame:
+    """``df`` with its rows dealt into ranges of ``order`` of about ``rows`` each, numbered in ``_chunk``; stored, so that every reader sees the same ranges.
+
+    Ranges are drawn by a sample of the order's values, so neither sparse ids nor a day with most of the rows makes a large one.
+    """
+    parts = max(1, -(-df.count() // rows))
+    return stored(df.repartitionByRange(parts, *order).withColumn("_chunk", F.spark_partition_id()))
+
+
 def with_ordinal(df: DataFrame, key: str = "id", out: str = "seq_num") -> DataFrame:
-    """The place of every row in the order of its id, counted in chunks of ids, so no task holds the whole table."""
-    chunked = df.withColumn("_chunk", F.floor(F.col(key) / CHUNK))
-    return running_before(chunked, [], "_chunk", [key], F.lit(1), out).withColumn(out, F.col(out) + 1).drop("_chunk")
+    """The place of every row in the order of its id, counted in bounded chunks, so no task holds the whole table."""
+    ids = in_chunks(df.select(key), [F.col(key)])
+    places = running_before(ids, [], "_chunk", [key], F.lit(1), out).select(key, (F.col(out) + 1).alias(out))
+    return df.join(places, key)
 
 
 def with_time_place(df: DataFrame, descending: bool, out: str = "place") -> DataFrame:
-    """The place of every row by creation time and id, nulls lowest, counted in chunks of one day."""
-    day = F.coalesce(F.datediff(F.to_date("created_at"), F.lit("1970-01-01")), F.lit(-(1 << 30)))
-    chunked = df.withColumn("_chunk", -day if descending else day)
+    """The place of every row by creation time and id, nulls lowest, counted in bounded chunks."""
     order = in_order("desc" if descending else "asc")
-    return running_before(chunked, [], "_chunk", order, F.lit(1), out).withColumn(out, F.col(out) + 1).drop("_chunk")
+    return running_before(in_chunks(df, order), [], "_chunk", order, F.lit(1), out).withColumn(out, F.col(out) + 1).drop("_chunk")
 
 
 @dataclass(frozen=True)
@@ -91,3 +100,46 @@ def related(df: DataFrame, key: int) -> DataFrame:
     """Other rows of the same non-blank association group."""
     group = df.filter((F.col("id") == key) & (F.coalesce("association_group_id", F.lit("")) != "")).select("association_group_id")
     return df.join(group, "association_group_id", "left_semi").filter(F.col("id") != key)
+
+
+DRAFT_COLUMNS = ("content", "source", "category_chapter", "review", "tags")
+
+
+def holds_lower(term: str, *columns: str) -> Column:
+    """Whether any of the columns holds the trimmed term, both in lower case; an empty term is held by all."""
+    wanted = F.lit(term.strip().lower())
+    found = F.lit(False)
+    for c in columns:
+        found = found | F.contains(F.lower(F.coalesce(c, F.lit(""))), wanted)
+    return found
+
+
+def drafts(df: DataFrame, term: str = "", **equal: str) -> DataFrame:
+    """Rows whose columns equal the given values, and which hold the term in any of the draft columns."""
+    for column, value in equal.items():
+        if value:
+            df = df.filter(F.col(column) == value)
+    return df.filter(holds_lower(term, *DRAFT_COLUMNS))
+
+
+def autocomplete(df: DataFrame, typed: str, column: str = "source") -> DataFrame:
+    """Different values that hold what was typed, in any case; all when nothing was."""
+    return df.filter(F.col(column).isNotNull() & holds_lower(typed, column)).select(column).distinct()
+
+
+def valid_items(items: DataFrame, questions: DataFrame) -> DataFrame:
+    """Items whose question exists and has text."""
+    held = questions.filter(F.trim(F.coalesce("content", F.lit(""))) != "").select(F.col("id").alias("question_id"))
+    return items.join(held, "question_id", "left_semi")
+
+
+def needs_answer(answer: Column, marker: str = "[EXTRACTED_ORIGINAL]", short: int = 5) -> Column:
+    """Whether an answer is blank, or short and not marked as extracted."""
+    a = F.trim(F.coalesce(answer, F.lit("")))
+    return (a == "") | (~F.contains(a, F.lit(marker)) & (F.length(a) < short))
+
+
+def selection(df: DataFrame, checked: Column, saved: Column) -> DataFrame:
+    """``df`` with what a selection and its changes mark: to_save (checked and not saved), all_checked and inverted."""
+    on = F.coalesce(checked, F.lit(False))
+    return df.withColumns({"checked": on, "to_save": on & ~F.coalesce(saved, F.lit(False)), "all_checked": F.lit(True), "inverted": ~on})

@@ -101,7 +101,15 @@ def join11_orphan_assets(spark: SparkSession, d: str) -> DataFrame:
     return every.select("path").distinct().join(every.filter("usage_count > 8").select("path"), "path", "left_anti")
 
 
-@query("doc16_images")
+_LISTED = "case when case when json_valid(image_paths) then json_type(image_paths) = 'ARRAY' else false end then from_json(image_paths, '[\"VARCHAR\"]') else [] end"
+_EVERY = rf"list_concat({_LISTED}, regexp_extract_all(coalesce(content, '') || ' ' || coalesce(answer_markdown, ''), '!\[[^\]]*\]\(([^)]+)\)', 1))"
+
+
+@query(
+    "doc16_images",
+    rf"""with e as (select id, list_filter({_EVERY}, lambda x: not regexp_matches(trim(x), '[?#]|^[A-Za-z][A-Za-z0-9+.-]*:|(^|/)\.\.?(/|$)|//')) as l from questions), p as (select id, list_filter(list_transform(l, lambda x: regexp_replace(regexp_replace(trim(x), '^/+', ''), '^(static/)?uploads/', '')), lambda x: x <> '') as l from e),
+    d as (select id, list_filter(l, lambda x, i: list_position(l, x) = i) as l from p) select id, unnest(l) as path, cast(generate_subscripts(l, 1) - 1 as bigint) as ord from d""",
+)
 def doc16_images(spark: SparkSession, d: str) -> DataFrame:
     return documents.collected_images(table(spark, d, "questions"))
 
@@ -126,7 +134,11 @@ def doc11_estimates(spark: SparkSession, d: str) -> DataFrame:
     return p.filter(F.col("n") * 5 != F.col("total_score"))
 
 
-@query("doc10_lock_report")
+@query(
+    "doc10_lock_report",
+    r"""with l as (select id as doc_id, len(regexp_extract_all(content, '\$[^$]+\$')) as n, regexp_matches(content, '^[^$]*\$[^$]+\$') and not contains(regexp_extract(content, '^[^$]*\$[^$]+\$'), '<') as opens from questions)
+    select doc_id, n as created, case when doc_id % 3 = 0 and opens then 1 else 0 end as missing, 0 as duplicated from l where n > 0""",
+)
 def doc10_lock_report(spark: SparkSession, d: str) -> DataFrame:
     """DOC9, DOC10: formulas of every stem locked, a third of the stems spoilt, and what the report says."""
     from tessella.functions.parsers import lock_formulas
@@ -135,3 +147,18 @@ def doc10_lock_report(spark: SparkSession, d: str) -> DataFrame:
     locks = q.select("doc_id", F.explode("l.locks").alias("x")).select("doc_id", "x.lock_id")
     spoilt = F.when(F.col("doc_id") % 3 == 0, F.regexp_replace("l.locked", r"^[^<]*<math-lock[^>]*>[^<]*</math-lock>", "")).otherwise(F.col("l.locked"))
     return documents.lock_report(locks, q.select("doc_id", spoilt.alias("t")))
+
+
+@query("doc10_restored", "select id as doc_id, case when id % 5 <> 4 or not regexp_matches(content, '[$][^$]+[$]') then content end as t, id % 5 = 4 and regexp_matches(content, '[$][^$]+[$]') as refused from questions")
+def doc10_restored(spark: SparkSession, d: str) -> DataFrame:
+    """DOC10: the stems of all questions locked, some marks edited or made short, one repeated, and put back."""
+    from tessella.functions.parsers import lock_formulas
+
+    q = table(spark, d, "questions").select(F.col("id").alias("doc_id"), lock_formulas("content", F.col("id").cast("string")).alias("l"))
+    locks = q.select("doc_id", F.explode("l.locks").alias("x")).select("doc_id", "x.*")
+    text, kind = F.col("l.locked"), F.col("doc_id") % 5
+    mark = r'<math-lock id="([^"]*)">[\s\S]*?</math-lock>'
+    sent = F.when(kind == 1, F.regexp_replace(text, mark, "[[ $1 ]]")).when(kind == 2, F.regexp_replace(text, mark, '<math-lock id="$1">edited</math-lock>'))
+    sent = sent.when(kind == 4, F.concat(text, F.coalesce(F.concat(F.lit("[["), F.nullif(F.regexp_extract(text, mark, 1), F.lit("")), F.lit("]]")), F.lit("")))).otherwise(text)
+    back = documents.restored_documents(q.select("doc_id", F.lit(0).alias("pos"), sent.alias("t")), locks)
+    return back.select("doc_id", "t", F.col("error").isNotNull().alias("refused"))

@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.functions.values import blank
-from tessella.operators import repair
+from tessella.operators import curriculum, repair
 from tessella.registry import query
+from tessella.plans.texts import LABELS
+from tessella.sources import snapshots
 from tessella.sources.tables import table
 
 CURR = "curr as (select * from (select c.*, row_number() over (partition by question_id, version_code order by id desc) as rn from question_curriculums c where question_id in (select id from questions)) where rn = 1)"
@@ -116,30 +118,6 @@ def upd1_renamed(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "questions").select("id", F.coalesce(F.try_element_at(names, "category_compulsory"), "category_compulsory").alias("book"))
 
 
-@query(
-    "upd3_edition_switch",
-    f"""with {CURR}, b as (select distinct question_id from curr where version_code = 'B' and chapter <> ''),
-    s as (select q.id, case when contains(q.category_chapter, '数列') then '第三章 等差等比与求和' when contains(q.category_chapter, '概率') and not contains(q.category_chapter, '统计') then '第六章 古典概型研究' when contains(q.category_chapter, '向量') then '第十章 向量运算与坐标' else '第十二章 函数性质探究' end as chapter
-      from questions q where coalesce(q.category_chapter, '') <> '' and q.id not in (select question_id from b))
-    select id as question_id, chapter from s""",
-)
-def upd3_edition_switch(spark: SparkSession, d: str) -> DataFrame:
-    """UPD3, SCA45: mappings to add on a change of edition, by the first rule whose words occur and whose others don't."""
-    rules = [(("数列",), (), "第三章 等差等比与求和"), (("概率",), ("统计",), "第六章 古典概型研究"), (("向量",), (), "第十章 向量运算与坐标")]
-    q, c = table(spark, d, "questions"), table(spark, d, "question_curriculums")
-    there = repair.clean_curriculums(c, q).filter("version_code = 'B' and chapter != ''").select(F.col("question_id").alias("id"))
-    missing = q.filter("coalesce(category_chapter, '') != ''").join(there, "id", "left_anti")
-    target = F.lit("第十二章 函数性质探究")
-    for words, without, chapter in reversed(rules):
-        ok = F.lit(True)
-        for w in words:
-            ok = ok & F.contains("category_chapter", F.lit(w))
-        for w in without:
-            ok = ok & ~F.contains("category_chapter", F.lit(w))
-        target = F.when(ok, F.lit(chapter)).otherwise(target)
-    return missing.select(F.col("id").alias("question_id"), target.alias("chapter"))
-
-
 @query("upd5_leaf_default", "select id, case when coalesce(category_knowledge, '') = '' and coalesce(category_chapter, '') <> '' then category_chapter else category_knowledge end as knowledge from questions")
 def upd5_leaf_default(spark: SparkSession, d: str) -> DataFrame:
     k = F.when(blank(F.col("category_knowledge")) & ~blank(F.col("category_chapter")), F.col("category_chapter")).otherwise(F.col("category_knowledge"))
@@ -209,3 +187,74 @@ def set3_same_sets(spark: SparkSession, d: str) -> DataFrame:
     used = table(spark, d, "paper_questions").select("question_id").distinct()
     a, b = used.join(q, "question_id", "left_semi"), q.join(used, "question_id", "left_semi")
     return a.exceptAll(b).unionAll(b.exceptAll(a)).agg((F.count(F.lit(1)) == 0).alias("same"))
+
+
+#: Words that route a question, in order; a group goes to the edition's first chapter that names its first word.
+ROUTE_WORDS = [("集合",), ("不等式", "方程"), ("指数", "对数"), ("三角",), ("函数",), ("向量",), ("复数",), ("几何", "圆", "直线"), ("数列",), ("概率", "分布"), ("统计",)]
+
+
+def _route_sql(target: str) -> str:
+    """Book and chapter of the target edition by the first group of words that it knows."""
+    first = "(select {c} from curriculum_tree where version_code = '" + target + "'{w} order by book_ord, chapter_ord limit 1)"
+    cases = " ".join(f"when ({' or '.join(f'contains(t, {chr(39)}{x}{chr(39)})' for x in w)}) and {first.format(c='chapter', w=f' and contains(chapter, {chr(39)}{w[0]}{chr(39)})')} is not null then {{}}" for w in ROUTE_WORDS)
+    column = lambda c: "case " + cases.format(*[first.format(c=c, w=f" and contains(chapter, '{w[0]}')") for w in ROUTE_WORDS]) + f" else {first.format(c=c, w='')} end"
+    return f"{column('book')} as book, {column('chapter')} as chapter"
+
+
+@query(
+    "sca45_routes",
+    f"""with d as (select distinct coalesce(category_compulsory, '') as a, coalesce(category_chapter, '') as b, coalesce(category_knowledge, '') as c from questions), t as (select *, a || ' ' || b || ' ' || c as t from d), r as (select a, b, c, {_route_sql('B')} from t)
+    select r.a as compulsory, r.b as typed, r.c as leaf, r.book, r.chapter, case when exists (select 1 from curriculum_tree x where x.version_code = 'B' and x.book = r.book and x.chapter = r.chapter and x.knowledge = r.c) then r.c else '' end as knowledge from r""",
+)
+def sca45_routes(spark: SparkSession, d: str) -> DataFrame:
+    """SCA45: the place of every triple of fields in edition B."""
+    tree = table(spark, d, "curriculum_tree")
+    rules, default = curriculum.word_rules(tree, "B", ROUTE_WORDS)
+    triple = [F.coalesce(c, F.lit("")) for c in ("category_compulsory", "category_chapter", "category_knowledge")]
+    rows = table(spark, d, "questions").select(*[c.alias(n) for c, n in zip(triple, ("compulsory", "typed", "leaf"), strict=True)]).distinct()
+    rows = rows.withColumns({"book": F.col("compulsory"), "chapter": F.col("typed"), "knowledge": F.col("leaf")})
+    return curriculum.routed(rows, rules, default, tree.filter("version_code = 'B'"), ("book", "chapter", "knowledge"))
+
+
+@query(
+    "upd3_switched",
+    f"""with own as (select question_id, arg_max(coalesce(compulsory, chr(1)), id) as a, arg_max(coalesce(chapter, chr(1)), id) as b, arg_max(coalesce(knowledge, chr(1)), id) as c from question_curriculums where version_code = 'B' and question_id in (select id from questions) group by 1),
+    m as (select id as question_id, coalesce(category_compulsory, '') || ' ' || coalesce(category_chapter, '') || ' ' || coalesce(category_knowledge, '') as t, coalesce(category_knowledge, '') as leaf from questions where id not in (select question_id from own)),
+    r as (select question_id, leaf, {_route_sql('B')} from m)
+    select question_id, 'B' as version_code, nullif(a, chr(1)) as compulsory, nullif(b, chr(1)) as chapter, nullif(c, chr(1)) as knowledge from own
+    union all select question_id, 'B', book, chapter, case when exists (select 1 from curriculum_tree x where x.version_code = 'B' and x.book = r.book and x.chapter = r.chapter and x.knowledge = r.leaf) then leaf else '' end from r""",
+)
+def upd3_switched(spark: SparkSession, d: str) -> DataFrame:
+    """UPD3: a switch to edition B: rows there are, and routed ones for the other questions."""
+    tree = table(spark, d, "curriculum_tree")
+    rules, default = curriculum.word_rules(tree, "B", ROUTE_WORDS)
+    return curriculum.switched(table(spark, d, "questions"), table(spark, d, "question_curriculums"), "B", rules, default, tree.filter("version_code = 'B'"))
+
+
+@query(
+    "snk2_report",
+    r"""with n as (select id, row_number() over (order by id) as seq_num, coalesce(nullif(category_compulsory, ''), '-') || ' / ' || coalesce(nullif(category_chapter, ''), '-') || ' / ' || coalesce(nullif(category_knowledge, ''), '-') as leaf,
+      case question_type when 'single_choice' then '单选题' when 'multi_choice' then '多选题' when 'fill_in_blank' then '填空题' when 'detailed_answer' then '解答题' else coalesce(question_type, '') end as label, trim(regexp_replace(content, '\s*\n\s*', ' ', 'g')) as line from questions)
+    select leaf, count(*) over (partition by leaf) as leaf_count, seq_num, id, label, line from n""",
+)
+def snk2_report(spark: SparkSession, d: str) -> DataFrame:
+    """SNK2, NUM1: the report by leaf, with ordinals, labels and counts."""
+    return snapshots.report(table(spark, d, "questions"), LABELS)
+
+
+@query("int4_missing_files", """with i as (select id, unnest(case when case when json_valid(image_paths) then json_type(image_paths) = 'ARRAY' else false end then from_json(image_paths, '["VARCHAR"]') else [] end) as path from questions), h as (select distinct path from i where id % 2 = 0) select distinct path from i where path not in (select path from h)""")
+def int4_missing_files(spark: SparkSession, d: str) -> DataFrame:
+    """INT4: files that are referred to and aren't there; here the stored ones are those of half of the questions."""
+    refs = table(spark, d, "questions").select("id", F.explode(F.from_json("image_paths", "array<string>")).alias("path"))
+    held = refs.filter("id % 2 = 0").select(F.col("path").alias("id"))
+    return repair.orphans(refs.select("path").distinct(), "path", held)
+
+
+@query(
+    "int7_readiness",
+    "select (select count(*) from question_curriculums where question_id not in (select id from questions)) + (select count(*) from paper_questions where question_id not in (select id from questions)) + (select count(*) from paper_questions where paper_id not in (select id from papers)) as violations, 0 as missing_columns",
+)
+def int7_readiness(spark: SparkSession, d: str) -> DataFrame:
+    """INT7: one row: references that lead nowhere, and columns the layout lacks."""
+    t = {n: table(spark, d, n) for n in ("questions", "question_curriculums", "papers", "paper_questions")}
+    return repair.readiness(t, {"questions": ["id", "content"], "papers": ["id", "title"]}, [("question_curriculums", "question_id", "questions"), ("paper_questions", "question_id", "questions"), ("paper_questions", "paper_id", "papers")])

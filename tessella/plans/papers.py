@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessella.functions.values import any_like
-from tessella.operators import papers, search
+from tessella.operators import counts, papers, search
 from tessella.registry import query
 from tessella.sources.tables import table
 
@@ -94,17 +94,13 @@ def agg6_remaining_score(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "agg8_difficulty_ratio",
-    f"""with {ITEMS_SQL}, c as (select paper_id, count(*) as n, count(*) filter (where difficulty in ('easy', 'normal', 'easy_error')) as easy, count(*) filter (where difficulty in ('hard', 'challenge')) as hard from items group by 1),
-    p as (select paper_id, cast(round(100.0 * easy / n) as bigint) as easy_pct, cast(round(100.0 * (n - easy - hard) / n) as bigint) as medium_pct from c)
+    f"""with {ITEMS_SQL}, c as (select paper_id, count(*) as n, count(*) filter (where difficulty in ('easy', 'normal')) as easy, count(*) filter (where difficulty in ('hard', 'qiangji')) as hard from items group by 1),
+    p as (select paper_id, cast(floor(100.0::double * easy / n + 0.5::double) as bigint) as easy_pct, cast(floor(100.0::double * (n - easy - hard) / n + 0.5::double) as bigint) as medium_pct from c)
     select paper_id, easy_pct, medium_pct, greatest(0, 100 - easy_pct - medium_pct) as hard_pct from p""",
 )
 def agg8_difficulty_ratio(spark: SparkSession, d: str) -> DataFrame:
-    """Rounded shares whose last is what is left of 100."""
-    easy, hard = F.count_if(F.col("difficulty").isin("easy", "normal", "easy_error")), F.count_if(F.col("difficulty").isin("hard", "challenge"))
-    c = items(spark, d).groupBy("paper_id").agg(F.count(F.lit(1)).alias("n"), easy.alias("easy"), hard.alias("hard"))
-    pct = lambda x: F.round(F.lit(100.0) * x / F.col("n")).cast("long")
-    c = c.select("paper_id", pct(F.col("easy")).alias("easy_pct"), pct(F.col("n") - F.col("easy") - F.col("hard")).alias("medium_pct"))
-    return c.withColumn("hard_pct", F.greatest(F.lit(0), 100 - F.col("easy_pct") - F.col("medium_pct")).cast("long"))
+    """AGG8: rounded shares whose last is what is left of 100."""
+    return counts.difficulty_shares(items(spark, d), "paper_id")
 
 
 @query("agg9_totals", f"with {ITEMS_SQL} select paper_id, cast(sum(case when score is null or score = 0 then 5 else score end) as bigint) as total, count(*) as n from items group by 1")
@@ -165,19 +161,36 @@ def reo1_moved(spark: SparkSession, d: str) -> DataFrame:
     return papers.moved(items(spark, d), "fill_in_blank", 0, 3)
 
 
-CANDIDATE = "select id, usage_count from questions where category_compulsory = '必修上册'"
+def _pool_sql(name: str, where: str, order: str) -> str:
+    """35 candidates of a condition, else of the fallback."""
+    return f"{name} as (select id, usage_count from questions where {where} order by {order} limit 35)"
 
 
-@query("top1_fresh", f"{CANDIDATE} order by usage_count asc nulls first, id desc limit 35")
+BOOK = "category_compulsory = '必修上册'"
+FRESH, REVIEW = "usage_count asc nulls first, id desc", "usage_count desc, id desc"
+
+
+@query("top1_fresh", f"select id, usage_count from questions where {BOOK} order by {FRESH} limit 35")
 def top1_fresh(spark: SparkSession, d: str) -> DataFrame:
-    q = search.Filters(compulsory="必修上册").apply(table(spark, d, "questions")).select("id", "usage_count")
-    return q.orderBy(F.col("usage_count").asc_nulls_first(), F.desc("id")).limit(35)
+    return papers.candidates(table(spark, d, "questions"), search.Filters(compulsory="必修上册"), review=False).select("id", "usage_count")
+
+
+@query("top1_fallback", f"select id, usage_count from questions order by {FRESH} limit 35")
+def top1_fallback(spark: SparkSession, d: str) -> DataFrame:
+    """TOP1 where the filters leave nothing: the whole table."""
+    return papers.candidates(table(spark, d, "questions"), search.Filters(compulsory="no such book"), review=False).select("id", "usage_count")
 
 
-@query("top2_review", f"{CANDIDATE} and usage_count > 0 order by usage_count desc, id desc limit 35")
+@query("top2_review", f"select id, usage_count from questions where {BOOK} and usage_count > 0 order by {REVIEW} limit 35")
 def top2_review(spark: SparkSession, d: str) -> DataFrame:
-    q = search.Filters(compulsory="必修上册").apply(table(spark, d, "questions")).filter("usage_count > 0").select("id", "usage_count")
-    return q.orderBy(F.desc("usage_count"), F.desc("id")).limit(35)
+    return papers.candidates(table(spark, d, "questions"), search.Filters(compulsory="必修上册"), review=True).select("id", "usage_count")
+
+
+@query("top2_fallback", f"with u as (select * from questions where coalesce(usage_count, 0) <= 0) select id, usage_count from u where {BOOK} order by id desc limit 35")
+def top2_fallback(spark: SparkSession, d: str) -> DataFrame:
+    """TOP2 where no candidate was used: the newest ones."""
+    unused = table(spark, d, "questions").filter(F.coalesce("usage_count", F.lit(0)) <= 0)
+    return papers.candidates(unused, search.Filters(compulsory="必修上册"), review=True).select("id", "usage_count")
 
 
 def _topic_sql(t: str) -> str:
@@ -185,10 +198,18 @@ def _topic_sql(t: str) -> str:
     return "(" + " or ".join(f"contains({fold.format(c=c)}, '{t}')" for c in search.TOPIC_COLUMNS) + ")"
 
 
-@query("top3_topics", f"select id, case when {_topic_sql('向量')} then 0 when {_topic_sql('导数')} then 1 else 2 end as topic_place from questions order by topic_place, usage_count asc nulls first, id desc limit 60")
+@query(
+    "top3_topics",
+    f"""with t as (select id, usage_count, case when {_topic_sql('复数')} then 0 when {_topic_sql('导数')} then 1 end as k from questions where question_type = 'fill_in_blank'),
+    f as (select id, k, usage_count, row_number() over (order by {FRESH}) as r from t where k is not null),
+    c as (select id, 2 as k, usage_count, row_number() over (order by {FRESH}) as r from (select id, usage_count from questions where {BOOK} order by {FRESH} limit 35) where id not in (select id from f)),
+    u as (select id, k, r from f union all select id, k, r from c) select id, k as topic_place from u order by k, r limit 60""",
+)
 def top3_topics(spark: SparkSession, d: str) -> DataFrame:
-    q = papers.topic_selection(table(spark, d, "questions"), ["向量", "导数"], lambda t: any_like(t, *search.TOPIC_COLUMNS), 60)
-    return q.select("id", "topic_place")
+    """TOP3: questions of one type by topic, then candidates to fill up."""
+    q = table(spark, d, "questions")
+    pool = papers.candidates(q, search.Filters(compulsory="必修上册"), review=False)
+    return papers.topic_selection(q, ["复数", "导数"], lambda t: any_like(t, *search.TOPIC_COLUMNS), 60, question_type="fill_in_blank", pool=pool).select("id", "topic_place")
 
 
 @query("top5_papers", "select id, title, row_number() over (order by created_at desc nulls last, id desc) as place from papers")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessella.functions.values import any_like, blank, filled, has_answer, json_strings, like_ci, py_strip
-from tessella.operators import search
+from tessella.operators import counts, search
 from tessella.registry import query
 from tessella.sources.tables import table
 
@@ -95,21 +95,19 @@ def fil9_membership(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "questions").join(ids, "id", "left_semi").select("id", "difficulty")
 
 
-@query("fil10_drafts", "select id, source from questions where question_type = 'fill_in_blank' and (contains(lower(coalesce(content, '')), 'circle') or contains(lower(coalesce(source, '')), 'circle') or contains(lower(coalesce(tags, '')), 'circle'))")
+_DRAFT = " or ".join(f"contains(lower(coalesce({c}, '')), 'circle')" for c in search.DRAFT_COLUMNS)
+
+
+@query("fil10_drafts", f"select id, source from questions where question_type = 'fill_in_blank' and ({_DRAFT})")
 def fil10_drafts(spark: SparkSession, d: str) -> DataFrame:
-    """Lower-case containment of a trimmed term in any of several columns."""
-    term = " Circle ".strip().lower()
-    found = F.lit(False)
-    for c in ("content", "source", "tags"):
-        found = found | F.contains(F.lower(F.coalesce(c, F.lit(""))), F.lit(term))
-    return table(spark, d, "questions").filter((F.col("question_type") == "fill_in_blank") & found).select("id", "source")
+    """FIL10: drafts of a type that hold a term in any case."""
+    return search.drafts(table(spark, d, "questions"), " Circle ", question_type="fill_in_blank").select("id", "source")
 
 
 @query("fil12_valid_items", "select pq.id, pq.question_id, pq.score from paper_questions pq join questions q on q.id = pq.question_id where trim(coalesce(q.content, '')) <> ''")
 def fil12_valid_items(spark: SparkSession, d: str) -> DataFrame:
-    """Items whose question exists and has text."""
-    q = table(spark, d, "questions").filter(F.trim(F.coalesce("content", F.lit(""))) != "").select(F.col("id").alias("question_id"))
-    return table(spark, d, "paper_questions").join(q, "question_id", "left_semi").select("id", "question_id", "score")
+    """FIL12: items whose question exists and has text."""
+    return search.valid_items(table(spark, d, "paper_questions"), table(spark, d, "questions")).select("id", "question_id", "score")
 
 
 @query(
@@ -117,20 +115,17 @@ def fil12_valid_items(spark: SparkSession, d: str) -> DataFrame:
     "select id from questions where trim(coalesce(answer_markdown, '')) = '' or (not contains(answer_markdown, '[EXTRACTED_ORIGINAL]') and length(trim(answer_markdown)) < 5)",
 )
 def fil13_needs_answer(spark: SparkSession, d: str) -> DataFrame:
-    a = F.col("answer_markdown")
-    short = ~F.contains(a, F.lit("[EXTRACTED_ORIGINAL]")) & (F.length(F.trim(a)) < 5)
-    return table(spark, d, "questions").filter((F.trim(F.coalesce(a, F.lit(""))) == "") | short).select("id")
+    """FIL13: questions whose answer is still to be written."""
+    return table(spark, d, "questions").filter(search.needs_answer(F.col("answer_markdown"))).select("id")
 
 
 @query(
     "fil14_selection",
-    "select count(*) filter (where usage_count > 10 and coalesce(association_group_id, '') = '') as chosen_unsaved, count(*) filter (where not coalesce(usage_count > 10, false)) as inverted, count(*) as all_rows from questions",
+    "select id, coalesce(usage_count > 10, false) as checked, coalesce(usage_count > 10, false) and coalesce(association_group_id, '') = '' as to_save, true as all_checked, not coalesce(usage_count > 10, false) as inverted from questions",
 )
 def fil14_selection(spark: SparkSession, d: str) -> DataFrame:
-    """Counts of a selection, its inverse and all rows in one pass."""
-    checked = F.coalesce(F.col("usage_count") > 10, F.lit(False))
-    unsaved = blank(F.col("association_group_id"))
-    return table(spark, d, "questions").agg(F.count_if(checked & unsaved).alias("chosen_unsaved"), F.count_if(~checked).alias("inverted"), F.count(F.lit(1)).alias("all_rows"))
+    """FIL14: what a selection marks: to be saved, everything selected, and inverted."""
+    return search.selection(table(spark, d, "questions").select("id", "usage_count", "association_group_id"), F.col("usage_count") > 10, ~blank(F.col("association_group_id"))).drop("usage_count", "association_group_id")
 
 
 @query("srt1_order", "select id, created_at, row_number() over (order by created_at asc nulls first, id asc) as place from questions")
@@ -139,14 +134,13 @@ def srt1_order(spark: SparkSession, d: str) -> DataFrame:
     return search.with_time_place(table(spark, d, "questions").select("id", "created_at"), descending=False)
 
 
-@query(
-    "agg1_difficulty_counts",
-    "select count(*) as total, count(*) filter (where difficulty = 'medium') as medium, count(*) filter (where difficulty = 'easy_error') as easy_error, count(*) filter (where difficulty = 'challenge') as challenge, count(*) filter (where difficulty is null) as none from questions",
-)
+COUNTED = ("normal", "easy_error", "challenge", "qiangji")
+
+
+@query("agg1_difficulty_counts", "select count(*) as total, " + ", ".join(f"count(*) filter (where difficulty = '{x}') as {x}" for x in COUNTED) + " from questions")
 def agg1_difficulty_counts(spark: SparkSession, d: str) -> DataFrame:
-    c = F.col("difficulty")
-    named = [F.count_if(c == x).alias(x) for x in ("medium", "easy_error", "challenge")]
-    return table(spark, d, "questions").agg(F.count(F.lit(1)).alias("total"), *named, F.count_if(c.isNull()).alias("none"))
+    """AGG1: all questions and those of four difficulties in one pass."""
+    return counts.conditional_counts(table(spark, d, "questions"), "difficulty", COUNTED)
 
 
 @query(
@@ -158,19 +152,19 @@ def agg2_hierarchy_counts(spark: SparkSession, d: str) -> DataFrame:
     return q.groupBy("book", "chapter").agg(F.count(F.lit(1)).alias("n"))
 
 
+BOOK_NUMBER = "list_min(list_concat([99], list_filter([" + ", ".join(f"case when contains(book, '{c}') or contains(book, '{n}') then {n} end" for n, c in enumerate("一二三四五六", 1)) + "], lambda x: x is not null)))"
+
+
 @query(
     "agg3_book_order",
-    """with g as (select coalesce(nullif(category_compulsory, ''), '未分类') as book, count(*) as n from questions group by 1)
+    f"""with g as (select coalesce(nullif(category_compulsory, ''), '未分类') as book, count(*) as n from questions group by 1)
     select book, n, row_number() over (order by case when book = '未分类' then 99 when contains(book, '必修') and not contains(book, '选') then 0 else 1 end,
-      case when book = '未分类' then 99 when contains(book, '上') then 1 when contains(book, '下') then 2 else 99 end, book) as place from g""",
+      case when book = '未分类' then 99 else {BOOK_NUMBER} end, book) as place from g""",
 )
 def agg3_book_order(spark: SparkSession, d: str) -> DataFrame:
-    """Books in a custom order: compulsory before elective, first volume before second, unclassified last."""
+    """AGG3: books in a custom order: compulsory before elective, by the smallest number in the name, unclassified last."""
     g = table(spark, d, "questions").groupBy(filled(F.col("category_compulsory"), "未分类").alias("book")).agg(F.count(F.lit(1)).alias("n"))
-    none = F.col("book") == "未分类"
-    kind = F.when(none, 99).when(F.contains("book", F.lit("必修")) & ~F.contains("book", F.lit("选")), 0).otherwise(1)
-    volume = F.when(none, 99).when(F.contains("book", F.lit("上")), 1).when(F.contains("book", F.lit("下")), 2).otherwise(99)
-    return g.withColumn("place", F.row_number().over(Window.orderBy(kind, volume, "book")))
+    return g.withColumn("place", F.row_number().over(Window.orderBy(*counts.book_order(F.col("book")))))  # as many rows as there are names of books
 
 
 @query("agg4_daily", "select strftime(created_at + interval 8 hours, '%Y-%m-%d') as day, count(*) as n from questions where created_at is not null group by 1")
@@ -251,7 +245,8 @@ def rel_answered_by_type(spark: SparkSession, d: str) -> DataFrame:
 
 @query("fil11_autocomplete", "select distinct source from questions where contains(lower(source), 'jes')")
 def fil11_autocomplete(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "questions").filter(F.contains(F.lower("source"), F.lit("jes"))).select("source").distinct()
+    """FIL11: sources that hold what was typed."""
+    return search.autocomplete(table(spark, d, "questions"), "Jes")
 
 
 @query("rel_like_wildcards", "select id from questions where translate(content, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') like '%a_{n+1}%x\\frac%' escape '!' or translate(content, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') like '%q_=%' escape '!'")

@@ -61,28 +61,35 @@ def str6_fallback(spark: SparkSession, d: str) -> DataFrame:
     return tasks.first_success(a)
 
 
-@query("snk3_manifest", " union all ".join(f"select '{t}' as name, count(*) as rows from {t}" for t in ("questions", "question_curriculums", "papers", "paper_questions")))
+SNAPSHOT = {
+    "questions": ("answer_markdown", "association_group_id", "category_chapter", "category_compulsory", "category_knowledge", "content", "created_at", "difficulty", "figure_align", "id", "image_paths", "question_type", "review", "source", "tags", "tikz_code", "usage_count"),
+    "question_curriculums": ("chapter", "compulsory", "id", "knowledge", "question_id", "version_code"),
+    "papers": ("created_at", "id", "metadata_json", "paper_type", "subtitle", "title", "total_score"),
+    "paper_questions": ("id", "order_index", "paper_id", "question_id", "score"),
+}
+
+
+def _digest_sql(name: str) -> str:
+    row = ", ".join(f"coalesce(cast({c} as varchar), chr(1))" for c in SNAPSHOT[name])
+    return f"select '{name}' as name, count(*) as rows, cast(coalesce(sum(cast('0x' || substr(md5(concat_ws(chr(31), {row})), 1, 15) as hugeint)), 0) as varchar) as digest from {name}"
+
+
+@query("snk3_manifest", " union all ".join(map(_digest_sql, SNAPSHOT)))
 def snk3_manifest(spark: SparkSession, d: str) -> DataFrame:
-    """AGG12, SNK3: rows of every table of a snapshot; the digests are tested apart."""
-    parts = [digest(table(spark, d, t), t).select("name", "rows") for t in ("questions", "question_curriculums", "papers", "paper_questions")]
+    """AGG12, SNK3: rows and digest of every table of a snapshot."""
+    parts = [digest(table(spark, d, t).select(*c), t) for t, c in SNAPSHOT.items()]
     return parts[0].union(parts[1]).union(parts[2]).union(parts[3])
 
 
-@query("doc9_locked_formulas", r"select id, len(regexp_extract_all(content, '\$[^$]+\$')) as n_locks from questions where not contains(content, '$$') and not contains(content, '\$') and not contains(content, '\[') and not contains(content, '\(') and (length(content) - length(replace(content, '$', ''))) % 2 = 0 and not regexp_matches(content, '\\begin\{(equation|align|gather|aligned|array|cases|[a-zA-Z]?matrix|math)')")
-def doc9_locked_formulas(spark: SparkSession, d: str) -> DataFrame:
-    """DOC9 of the stems SQL can follow; ``doc9_all_locks`` has every stem."""
-    c = F.col("content")
-    plain = ~F.contains(c, F.lit("$$")) & ~F.contains(c, F.lit("\\$")) & ~F.contains(c, F.lit("\\[")) & ~F.contains(c, F.lit("\\("))
-    plain = plain & (F.regexp_count(c, F.lit(r"\$")) % 2 == 0) & ~c.rlike(r"\\begin\{(?:equation|align|gather|aligned|array|cases|[a-zA-Z]?matrix|math)")
-    q = table(spark, d, "questions").filter(plain).select("id", parsers.lock_formulas("content", F.col("id").cast("string")).alias("l"))
-    return q.select("id", F.size("l.locks").cast("long").alias("n_locks"))
+_ENVIRONMENTS = "|".join(rf"\\begin\{{{e}\}}[\s\S]*?\\end\{{{e}\}}".replace("*", r"\*", 0) for e in ("equation", "align", "gather", "aligned", "gathered", "split", "multline", "eqnarray", "displaymath", "math", "array", "cases", "matrix", "pmatrix", "bmatrix", "vmatrix"))
+_LOCKS = r"regexp_extract_all(content, '\$\$[\s\S]*?\$\$|\$[^$]*\$|\\\([\s\S]*?\\\)|\\\[[\s\S]*?\\\]|" + _ENVIRONMENTS + "')"
 
 
-@query("doc9_all_locks")
+@query("doc9_all_locks", f"with l as (select id, {_LOCKS} as l from questions) select id, len(l) as n_locks, l as originals from l")
 def doc9_all_locks(spark: SparkSession, d: str) -> DataFrame:
-    """DOC9: the formulas of every stem put under locks, one batch call per Arrow batch."""
+    """DOC9: the formulas of every stem put under locks; golden cases hold what SQL can't tell, escapes and formulas that don't end."""
     q = table(spark, d, "questions").select("id", parsers.lock_formulas("content", F.col("id").cast("string")).alias("l"))
-    return q.select("id", F.size("l.locks").cast("long").alias("n_locks"), "l.locked", "l.locks")
+    return q.select("id", F.size("l.locks").cast("long").alias("n_locks"), F.transform("l.locks", lambda x: x["original"]).alias("originals"))
 
 
 @query("sca32_tokens")
@@ -92,10 +99,10 @@ def sca32_tokens(spark: SparkSession, d: str) -> DataFrame:
     return t.select("id", "pos", "t.kind", "t.text", "t.display")
 
 
-@query("sca50_model_json")
+@query("sca50_model_json", "select id, chr(10) || replace(content, chr(34), chr(39)) as content from questions")
 def sca50_model_json(spark: SparkSession, d: str) -> DataFrame:
     """SCA48 to SCA51: stems in a model's envelope with single backslashes and raw line breaks, read again."""
-    said = F.concat(F.lit('```json\n{"questions": [{"content": "'), F.regexp_replace("content", r'["]', "'"), F.lit('"}]}\n```'))
+    said = F.concat(F.lit('```json\n{"questions": [{"content": "\n'), F.regexp_replace("content", r'["]', "'"), F.lit('"}]}\n```'))
     q = table(spark, d, "questions").select("id", parsers.canonical_questions(said).alias("j"))
     return q.select("id", F.from_json("j", "array<struct<content: string>>")[0]["content"].alias("content"))
 

@@ -24,7 +24,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _load() -> None:
-    from tessella.plans import documents, integrity, papers, relational, state, texts  # noqa: F401
+    from tessella.plans import documents, integrity, papers, readers, relational, state, texts  # noqa: F401
 
 
 def queries() -> dict[str, Query]:

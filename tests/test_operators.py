@@ -92,17 +92,36 @@ def test_text_functions(spark, function, text, expected):
     assert one(spark, function, text) == expected
 
 
+def is_room(s):
+    """Nothing but blanks, gaps and spacing commands."""
+    for command in ("\\qquad", "\\quad"):
+        s = s.replace(command, " ")
+    return not re.sub(r"\\hspace\{[^{}]*\}|_", " ", s).strip()
+
+
 def stem_without_brackets(text):
-    """SCA4 in plain Python."""
+    """SCA4 in plain Python: pairs of brackets are taken off the end one by one."""
     text = (text or "").strip()
-    blank = r"(?:\\quad|\\qquad|\\hspace\{[^{}]*\}|[\s\xa0\u3000_])*"
-    plain = rf"[(（]\s*{blank}\s*[)）]"
-    text = re.sub(rf"(?:[\s\xa0\u3000]*(?:\$\s*{plain}\s*\$|[(（]\s*\$\s*{blank}\s*\$\s*[)）]|{plain}))+[\s\xa0\u3000]*$", "", text).strip()
-    text = re.sub(r"\\paren\b", "", text).strip()
-    signs = [m.start() for m in re.finditer(r"(?<!\\)\$", text)]
+    while True:
+        around = text.endswith("$")
+        rest = text[:-1].rstrip() if around else text
+        at = max(rest.rfind("("), rest.rfind("（"))
+        if rest[-1:] not in (")", "）") or at < 0:
+            break
+        inside, before = rest[at + 1 : -1], rest[:at].rstrip()
+        within = inside.strip()
+        if around and before.endswith("$") and is_room(inside):
+            text = before[:-1].rstrip()
+        elif not around and (is_room(inside) or len(within) > 1 and within[0] == within[-1] == "$" and is_room(within[1:-1])):
+            text = before
+        else:
+            break
+    words = re.split(r"\\paren(?!\w)", text)
+    text = "".join(words).strip()
+    signs = [k for k, c in enumerate(text) if c == "$" and text[k - 1 : k] != "\\"]
     if len(signs) % 2 == 0:
         return text
-    return text + "$" if text[signs[-1] + 1 :].strip() else text[: signs[-1]].rstrip()
+    return text[:-1].rstrip() if signs[-1] == len(text) - 1 else text + "$"
 
 
 def test_whole_choice_stems_equal_brute_force(spark, data, tmp_path):
@@ -122,8 +141,8 @@ def test_locks_of_every_stem_and_sources_of_whole_papers(spark, tmp_path):
     spark.createDataFrame([(7, "T"), (8, None)], "id long, title string").write.parquet(str(tmp_path / "papers.parquet"))
     spark.createDataFrame([(7, 2, 1), (7, 1, 2), (7, 99, 3)], "paper_id long, question_id long, order_index int").write.parquet(str(tmp_path / "paper_questions.parquet"))
     rows = registry.queries()["doc9_all_locks"](spark, str(tmp_path)).collect()
-    assert {r.id: [x.original for x in r.locks] for r in rows} == {1: ["$$x$$", "$y$"], 2: [r"\[u\]", r"\(v\)", r"\begin{cases}a\end{cases}"], 3: [], 4: [], 5: []}
-    assert all(r.n_locks == len(r.locks) for r in rows)
+    assert {r.id: r.originals for r in rows} == {1: ["$$x$$", "$y$"], 2: [r"\[u\]", r"\(v\)", r"\begin{cases}a\end{cases}"], 3: [], 4: [], 5: []}
+    assert all(r.n_locks == len(r.originals) for r in rows)
     sources = {r.id: r for r in registry.queries()["sca18_tex_sources"](spark, str(tmp_path)).collect()}
     body = sources[7].body
     assert sources[7].title == "T" and body.count("\\question") == 2 and 0 <= body.index(stems[2]) < body.index(stems[1])
