@@ -1,14 +1,15 @@
 """Problem 5: noise in texts taken from scanned pages, and its repair.
 
-Method: words and characters are grouped by a skeleton in which glyphs that look alike are one, and a form is a misreading
-where its context supports a far more frequent form of the same skeleton; digits are masked to find running headers, the
-lines that recur and whose ends stand at no other place; page numbers are told by their shapes; lines are joined into
-paragraphs by SQL windows.
-
-All counts are taken over the whole table. Pairs and words are gathered per partition and summed by hashed bucket, so what
-reaches the driver of them has a fixed size at any scale. Lines are counted by their full 64-bit hash and each is judged by
-its own edges; only those that recur are looked at again, so many at a time as a broadcast holds, and of a header eight
-bytes are kept. Null and empty texts have no noise; other columns are ignored.
+Method: words are grouped by a skeleton in which glyphs that look alike are one; a rare form is a misreading of the group's
+frequent form where that one also stands beside the same word. Characters of other scripts are judged among their look-alikes by the
+characters on both sides. Digits are masked to find running headers, the lines that recur and whose ends stand at no other
+place; page numbers are told by their shapes; lines are joined into paragraphs by SQL windows.
+
+All counts are taken over the whole table, batch by batch, and summed by exact keys. Lines are counted by their full 64-bit hash
+and each is judged by its own edges; recurring lines and misread words are looked for so many at a time as a broadcast holds, with
+further passes for more. Pairs of characters are bounded by the alphabet: their table has at least eight places for each.
+Null and empty texts have no noise; other columns are ignored. A running header has 8 to 90 characters, a page's line at most 140: longer
+ones are text.
 """
 
 from __future__ import annotations
@@ -27,15 +28,18 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.llm import forms
-from tessella.plans.lineage import cut
+from tessella.plans.lineage import cut, stored
 
-BUCKETS = 1 << 21
+#: Places in the table of character pairs: eight for each pair within these bounds.
+LEAST_PLACES, MOST_PLACES = 1 << 18, 1 << 24
+#: Misread forms that are looked for in one pass over the texts, and records in which the right form has to stand beside the same word.
+WORDS_AT_ONCE, BESIDE = 1 << 18, 3
 #: Recurring lines whose edges are counted in one pass over the texts.
 LINES_AT_ONCE = 1 << 20
 #: Characters of a line's edge, by the line's length.
 EDGES = (10, 8)
-#: A header recurs in at least so many records, and at least this share of its edges' occurrences stand at line edges.
-HEADER_RECORDS, HEADER_SHARE = 3, 0.9
+#: A header recurs in at least so many records; of the occurrences of one of its edges, and of the other, at least these shares stand at line edges.
+HEADER_RECORDS, HEADER_SHARE, OTHER_SHARE = 3, 0.9, 0.5
 #: A misreading's context supports another form at least so often, and the form seen at most by this share of it.
 SUPPORT, MISREAD_SHARE = 10, 0.1
 #: Of a character, both sides together must favour the other form by this factor.
@@ -51,6 +55,8 @@ LOOK_ALIKE_GROUPS = (
 LOOK_ALIKE_LETTERS = (
     ("rn", "m"), ("li", "h"), ("vv", "w"), ("cl", "d"), ("1", "l"), ("1", "i"), ("0", "o"), ("5", "s"), ("c", "e"), ("ii", "u"), ("6", "б"), ("3", "з"), ("л", "п"), ("и", "н"), ("ш", "щ"),
 )
+#: Each glyph as the strokes it may be read as; forms that are misread from one another have the same strokes.
+STROKES = str.maketrans({"m": "rn", "h": "11", "w": "vv", "d": "e1", "u": "11", "l": "1", "i": "1", "o": "0", "s": "5", "c": "e", "б": "6", "з": "3", "п": "л", "н": "и", "щ": "ш"})
 NUM = r"\d{1,4}"
 PAGE = (
     rf"[-–—·~〔\[|•*]+\s*{NUM}\s*[-–—·~〕\]|•*]+|(?:[一-鿿]{{1,6}}\s*)?第\s*{NUM}\s*页(?:\s*[/，,、]?\s*共\s*{NUM}\s*页)?|(?:[Pp]age|p\.|P\.|Seite|[Сс]тр\.|Página)\s*{NUM}(?:\s*(?:of|/|von|de|из)\s*{NUM})?|{NUM}\s*/\s*{NUM}"
@@ -60,7 +66,6 @@ BARE = re.compile(rf"\s*{NUM}\s*")
 DATA = re.compile(r"[\s\d.,;:|/+\-]*")
 WITH_PAGE = re.compile(rf"\s*(?:(?P<front>{PAGE}|{NUM})[^\S\n]{{2,}})?(?P<rest>\S.*?)(?:[^\S\n]{{2,}}(?P<back>{PAGE}|{NUM}))?\s*")
 NOT_HEADER = re.compile(r"^(?:\\|\||!\[|<|\$|[A-H][.．、)]|[-+*]\s)|\$|[。.!?！？；;，,：:、\-‐‑­]$|^\[EXTRACTED_ORIGINAL\]")
-HEADER_WORDS = re.compile(r"教研组|讲义|同步训练|周练|联合测试|联考|试卷|Exercises, Book|\bPress$|\bEXAM\b|ACADEMY|MATHEMATICS PAPER|^Section # [|/]|^Chapter # [|/]")
 FORMULA = re.compile(r"\$\$[^$]*\$\$|\$[^$]*\$")
 DIGITS = re.compile(r"\d+")
 HYPHEN = re.compile(r"(?<=[^\W\d_])[-‐‑­][^\S\n]*\n[^\S\n]*(?=[^\W\d_])")
@@ -104,12 +109,6 @@ def line_hash(part: str) -> int:
     return h - (1 << 64) if h >> 63 else h
 
 
-def two_buckets(s: str) -> tuple[int, int]:
-    """Two independent hashes; the smaller of two counts is hardly ever another string's."""
-    h = xxhash.xxh64_intdigest(s)
-    return (h & 0xFFFFFFFF) % BUCKETS, (h >> 32) % BUCKETS
-
-
 def _signed(s: str) -> int:
     """The hash of a line's edge, as it is also rolled over all texts."""
     h = 1469598103934665603
@@ -140,10 +139,14 @@ def _classes() -> tuple[np.ndarray, np.ndarray]:
 GROUP, MEMBERS = _classes()
 
 
-def _pair_bucket(a: np.ndarray, b: np.ndarray, side: int) -> np.ndarray:
+def _pair_keys(a: np.ndarray, b: np.ndarray, side: int) -> np.ndarray:
+    return (a << np.uint64(22)) | (b << np.uint64(1)) | np.uint64(side)
+
+
+def _places(keys: np.ndarray, places: int) -> np.ndarray:
     with np.errstate(over="ignore"):
-        x = ((a << np.uint64(22)) | (b << np.uint64(1)) | np.uint64(side)) * np.uint64(0x9E3779B97F4A7C15)
-        return ((x ^ (x >> np.uint64(31))) % np.uint64(BUCKETS)).astype(np.int64)
+        x = keys * np.uint64(0x9E3779B97F4A7C15)
+        return ((x ^ (x >> np.uint64(31))) & np.uint64(places - 1)).astype(np.int64)
 
 
 def dense(text: str) -> str:
@@ -183,20 +186,27 @@ def readings(word: str) -> set[str]:
     return out
 
 
+def skeleton(word: str) -> str:
+    """The strokes of a word: the same for forms that differ in glyphs that look alike."""
+    return word.translate(STROKES)
+
+
 class ScanModel:
-    """Counts over the whole table: headers by their hashed lines in order, pairs of characters, words."""
+    """What the whole table tells: headers by their hashed lines in order, pairs of characters, misread words and what they were."""
 
-    def __init__(self, headers: array, pairs: np.ndarray, words: np.ndarray, words_again: np.ndarray):
-        self.headers, self.pairs, self.words, self.words_again = headers, pairs, words, words_again
-        self.known: dict[str, str | None] = {}
+    def __init__(self, headers: array, pairs: np.ndarray, words: dict[str, str]):
+        self.headers, self.pairs, self.words = headers, pairs, words
 
     def is_header(self, part: str) -> bool:
-        return may_be_header(part) and (self._recurs(line_hash(part)) or bool(HEADER_WORDS.search(part)))
+        return may_be_header(part) and self._recurs(line_hash(part))
 
     def _recurs(self, h: int) -> bool:
         k = bisect_left(self.headers, h)
         return k < len(self.headers) and self.headers[k] == h
 
+    def pair_counts(self, a: np.ndarray, b: np.ndarray, side: int) -> np.ndarray:
+        return self.pairs[_places(_pair_keys(a, b, side), len(self.pairs))]
+
     def noise_lines(self, text: str) -> dict[int, set[str]]:
         """Kinds of noise by line number."""
         lines = text.split("\n")
@@ -222,30 +232,16 @@ class ScanModel:
             return {}
         return found
 
-    def occurrences(self, word: str) -> int:
-        a, b = two_buckets(word)
-        return int(min(self.words[a], self.words_again[b]))
-
-    def right_word(self, word: str) -> str | None:
-        """The common word this one was misread from, or None."""
-        if word not in self.known:
-            if len(self.known) > 200_000:
-                self.known.clear()
-            seen = self.occurrences(word)
-            best = max(((self.occurrences(r), r) for r in readings(word)), default=(0, ""))
-            self.known[word] = best[1] if best[0] >= SUPPORT and seen <= MISREAD_SHARE * best[0] else None
-        return self.known[word]
-
     def misread_characters(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Text, ordinal among the text's characters with look-alikes, and right character of every misread one."""
         owner, c, before, behind, group = _positions(texts)
         if not len(c):
             return owner, owner, c
-        seen = [self.pairs[_pair_bucket(before, c, 0)], self.pairs[_pair_bucket(c, behind, 1)]]
+        seen = [self.pair_counts(before, c, 0), self.pair_counts(c, behind, 1)]
         bad, right, best = np.zeros(len(c), bool), c.copy(), np.zeros(len(c))
         for k in range(MEMBERS.shape[1]):
             other = MEMBERS[group, k]
-            held = [self.pairs[_pair_bucket(before, other, 0)], self.pairs[_pair_bucket(other, behind, 1)]]
+            held = [self.pair_counts(before, other, 0), self.pair_counts(other, behind, 1)]
             weak = [(held[s] >= SUPPORT) & (seen[s] <= MISREAD_SHARE * held[s]) for s in (0, 1)]
             favour = (held[0] + 1.0) / (seen[0] + 1) * (held[1] + 1.0) / (seen[1] + 1)
             better = (other > 0) & (other != c) & (weak[0] | weak[1]) & (favour >= FAVOUR) & (favour > best)
@@ -267,7 +263,7 @@ class ScanModel:
             if HYPHEN.search(masked):
                 kinds.add("hyphen")
                 masked = HYPHEN.sub("", masked)
-            if any(self.right_word(w) for w in set(words_of(masked))):
+            if not self.words.keys().isdisjoint(words_of(masked)):
                 kinds.add("misread")
             out.append(kinds)
             clean.append(dense(masked))
@@ -299,7 +295,7 @@ class ScanModel:
         lower = folded(word).lower()
         if len(lower) < 3 or not LATIN.search(lower):
             return word
-        right = self.right_word(lower)
+        right = self.words.get(lower)
         if right is None:
             return word
         return right.capitalize() if word[0].isupper() else right
@@ -360,64 +356,133 @@ def _headers(texts: DataFrame, lines: pd.DataFrame) -> np.ndarray:
         share[side][own["k"]] = own["e"] / own["n"]
     held.destroy()
     of = lambda side, c: share[side][np.searchsorted(wanted[side], lines[c].to_numpy(np.int64).view(np.uint64))]
-    return lines["k"].to_numpy(np.int64)[(of(0, "a") >= HEADER_SHARE) & (of(1, "z") >= HEADER_SHARE)]
+    first, last = of(0, "a"), of(1, "z")
+    return lines["k"].to_numpy(np.int64)[(np.maximum(first, last) >= HEADER_SHARE) & (np.minimum(first, last) >= OTHER_SHARE)]
+
 
+def body_of(text: str) -> str:
+    """A text for counting words and characters: look-alike letters as one, formulas masked, divided words joined."""
+    return HYPHEN.sub("", folded(FORMULA.sub("@", text)))
 
-def fit(texts: DataFrame) -> ScanModel:
-    """Count over all texts, in two passes: lines, pairs and words; then how often the edges of recurring lines occur at all."""
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Of each batch: lines that may be headers by their hash, with their edges (kind 0), pairs of characters (1), words by their skeleton (2)."""
+    for b in batches:
         lines: Counter = Counter()
         words: Counter = Counter()
-        pairs = np.zeros(BUCKETS, np.int64)
-        for b in batches:
-            texts_: list[str] = []
-            for t in b["t"]:
-                if "\n" in t:
-                    for part in {line_parts(x)[0] for x in t.split("\n") if 6 <= len(x) <= 140}:
-                        if may_be_header(part):
-                            lines[part] += 1
-                masked = folded(FORMULA.sub("@", t))
-                words.update(words_of(HYPHEN.sub("", masked)))
-                texts_.append(dense(masked))
-            _, c, before, behind, _ = _positions(texts_)
-            pairs += np.bincount(_pair_bucket(before, c, 0), minlength=BUCKETS) + np.bincount(_pair_bucket(c, behind, 1), minlength=BUCKETS)
+        contexts: list[str] = []
+        for t in b["t"]:
+            if "\n" in t:
+                lines.update(p for p in {line_parts(x)[0] for x in t.split("\n") if 6 <= len(x) <= 140} if may_be_header(p))
+            masked = folded(FORMULA.sub("@", t))
+            words.update(words_of(HYPHEN.sub("", masked)))
+            contexts.append(dense(masked))
         keys = list(lines)
-        yield pd.DataFrame({"kind": 0, "k": np.array([line_hash(x) for x in keys], np.int64), "a": [_signed(edges_of(x)[0]) for x in keys], "z": [_signed(edges_of(x)[1]) for x in keys], "n": [lines[x] for x in keys]})
-        at = np.flatnonzero(pairs)
-        yield pd.DataFrame({"kind": 1, "k": at, "a": 0, "z": 0, "n": pairs[at]})
-        hashed = np.array([two_buckets(w) for w in words], np.int64).reshape(-1, 2)
-        for kind in (2, 3):
-            held = np.bincount(hashed[:, kind - 2], np.fromiter(words.values(), np.int64, len(words)), minlength=BUCKETS).astype(np.int64)
-            at = np.flatnonzero(held)
-            yield pd.DataFrame({"kind": kind, "k": at, "a": 0, "z": 0, "n": held[at]})
-
-    counted = texts.select("t").mapInPandas(count, "kind int, k long, a long, z long, n long")
-    kept = cut(counted.groupBy("kind", "k").agg(F.sum("n").alias("n"), F.min("a").alias("a"), F.min("z").alias("z")).filter(f"n >= if(kind = 0, {HEADER_RECORDS}, 2)"))
-    rows = kept.filter("kind > 0").select("kind", "k", "n").toPandas()
-    tables = []
-    for kind in (1, 2, 3):
-        own = rows[rows["kind"] == kind]
-        t = np.zeros(BUCKETS, np.int64)
-        t[own["k"]] = own["n"]
-        tables.append(t)
-    recurring = kept.filter("kind = 0").select("k", "a", "z")
-    slices = -(-recurring.count() // LINES_AT_ONCE)
-    headers = [_headers(texts, recurring.filter(F.pmod(F.hash("k"), F.lit(slices)) == k).toPandas()) for k in range(slices)]
-    return ScanModel(array("q", np.sort(np.concatenate([*headers, np.zeros(0, np.int64)])).tolist()), *tables)
+        yield pd.DataFrame({"kind": 0, "k": np.array([line_hash(x) for x in keys], np.int64), "a": [_signed(edges_of(x)[0]) for x in keys], "z": [_signed(edges_of(x)[1]) for x in keys], "w": None, "n": [lines[x] for x in keys]})
+        _, c, before, behind, _ = _positions(contexts)
+        k, n = np.unique(np.concatenate([_pair_keys(before, c, 0), _pair_keys(c, behind, 1)]), return_counts=True)
+        yield pd.DataFrame({"kind": 1, "k": k.view(np.int64), "a": 0, "z": 0, "w": None, "n": n})
+        forms_ = list(words)
+        yield pd.DataFrame({"kind": 2, "k": np.array([line_hash(skeleton(w)) for w in forms_], np.int64), "a": 0, "z": 0, "w": forms_, "n": [words[w] for w in forms_]})
+
+
+def _pair_table(counted: DataFrame) -> np.ndarray:
+    """Counts of the pairs of characters seen more than once, hashed into a table that has room for them; bounded by the alphabet."""
+    rows = counted.filter("kind = 1").groupBy("k").agg(F.sum("n").alias("n")).filter("n > 1").toPandas()
+    places = LEAST_PLACES
+    while places < min(8 * len(rows), MOST_PLACES):
+        places *= 2
+    table = np.zeros(places, np.int64)
+    np.add.at(table, _places(rows["k"].to_numpy(np.int64).view(np.uint64), places), rows["n"].to_numpy(np.int64))
+    return np.minimum(table, np.iinfo(np.int32).max).astype(np.int32)
+
+
+def _slices(df: DataFrame, key: str, size: int) -> list[DataFrame]:
+    parts = max(1, -(-df.count() // size))
+    return [df.filter(F.pmod(F.hash(key), F.lit(parts)) == k) for k in range(parts)]
+
+
+def misread_words(texts: DataFrame, counted: DataFrame) -> DataFrame:
+    """(w, r) of every misread form and the frequent form of its skeleton that it was read from.
+
+    The frequent form has to be one exchange of look-alike glyphs away, and to stand beside the same word in several records; words that
+    are rare themselves tell nothing.
+    """
+    words = counted.filter("kind = 2").groupBy("k", "w").agg(F.sum("n").alias("n"))
+    best = words.groupBy("k").agg(F.max_by("w", F.struct("n", "w")).alias("r"), F.max("n").alias("m")).filter(F.col("m") >= SUPPORT)
+    rare = words.join(best, "k").filter((F.col("w") != F.col("r")) & (F.col("n") <= MISREAD_SHARE * F.col("m"))).select("w", "r")
+
+    def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield b[[r in readings(w) for w, r in zip(b["w"], b["r"], strict=True)]]
+
+    rare = cut(rare.mapInPandas(near, "w string, r string"))
+    sc = texts.sparkSession.sparkContext
+    beside = None
+    for part in _slices(rare, "r", WORDS_AT_ONCE):  # the forms of one word are in one slice
+        pairs = [tuple(r) for r in part.collect()]
+        held = sc.broadcast({**dict(pairs), **{r: r for _, r in pairs}})
+
+        def count(batches: Iterator[pd.DataFrame], held=held) -> Iterator[pd.DataFrame]:
+            wanted = held.value
+            for b in batches:
+                found: Counter = Counter()
+                for t in b["t"]:
+                    if LATIN.search(t.lower()):
+                        tokens = WORD.findall(body_of(t).lower())
+                        for k, w in enumerate(tokens):
+                            if w in wanted:
+                                found[w, wanted[w], 0, tokens[k - 1] if k else ""] += 1
+                                found[w, wanted[w], 1, tokens[k + 1] if k + 1 < len(tokens) else ""] += 1
+                yield pd.DataFrame([(*key, n) for key, n in found.items()], columns=["w", "r", "side", "other", "n"])
+
+        one = texts.select("t").mapInPandas(count, "w string, r string, side int, other string, n long")
+        beside = one if beside is None else beside.unionByName(one)
+    beside = cut(beside.groupBy("w", "r", "side", "other").agg(F.sum("n").alias("n")))
+    right = beside.filter((F.col("w") == F.col("r")) & (F.col("n") >= BESIDE)).select("r", "side", "other").withColumn("held", F.lit(1))
+    common = words.groupBy(F.col("w").alias("other")).agg(F.sum("n").alias("m")).filter(F.col("m") >= SUPPORT)
+    judged = beside.filter("w != r").join(right, ["r", "side", "other"], "left").join(common, "other", "left")
+    per = judged.groupBy("w", "r").agg(F.max("held").alias("held"), F.max("m").alias("m"))
+    return cut(per.filter("held is not null or m is null").select("w", "r"))
+
+
+def fit(texts: DataFrame) -> tuple[ScanModel, list[DataFrame]]:
+    """The model of all texts with the first slice of misread words, and the other slices (w, r)."""
+    counted = stored(texts.select("t").mapInPandas(_counts, "kind int, k long, a long, z long, w string, n long"))
+    recurring = cut(counted.filter("kind = 0").groupBy("k").agg(F.sum("n").alias("n"), F.min("a").alias("a"), F.min("z").alias("z")).filter(F.col("n") >= HEADER_RECORDS).select("k", "a", "z"))
+    headers = [_headers(texts, part.toPandas()) for part in _slices(recurring, "k", LINES_AT_ONCE)]
+    words = _slices(misread_words(texts, counted), "w", WORDS_AT_ONCE)
+    model = ScanModel(array("q", np.sort(np.concatenate([*headers, np.zeros(0, np.int64)])).tolist()), _pair_table(counted), _dict(words[0]))
+    return model, words[1:]
+
+
+def _dict(words: DataFrame) -> dict[str, str]:
+    return {r.w: r.r for r in words.collect()}
 
 
 def scan_noise(df: DataFrame, key: str = "id", fields: tuple[str, ...] = ("content", "answer_markdown")) -> DataFrame:
     """(id, field, kind): one row per text and kind of noise in it."""
     texts = long_form(df, key, fields)
-    model = df.sparkSession.sparkContext.broadcast(fit(texts))
+    fitted, more = fit(texts)
+    sc = df.sparkSession.sparkContext
+    model = sc.broadcast(fitted)
 
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = [(i, f, k) for i, f, kinds in zip(b["id"], b["field"], model.value.kinds(b["t"].tolist()), strict=True) for k in sorted(kinds)]
             yield pd.DataFrame(rows, columns=["id", "field", "kind"])
 
-    return texts.mapInPandas(judge, "id long, field string, kind string")
+    found = texts.mapInPandas(judge, "id long, field string, kind string")
+    for part in more:
+        held = sc.broadcast(_dict(part))
+
+        def words(batches: Iterator[pd.DataFrame], held=held) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                hit = [not held.value.keys().isdisjoint(words_of(body_of(t))) for t in b["t"]]
+                yield b.loc[hit, ["id", "field"]].assign(kind="misread")
+
+        found = found.unionByName(texts.mapInPandas(words, "id long, field string, kind string"))
+    return found.distinct() if more else found
 
 
 def repaired_texts(df: DataFrame, key: str = "id", fields: tuple[str, ...] = ("content", "answer_markdown")) -> DataFrame:
@@ -427,7 +492,10 @@ def repaired_texts(df: DataFrame, key: str = "id", fields: tuple[str, ...] = ("c
     around tables, environments, options and images; other lines are joined, with a blank where words are set apart.
     """
     texts = long_form(df, key, fields)
-    model = df.sparkSession.sparkContext.broadcast(fit(texts))
+    fitted, more = fit(texts)
+    for part in more:
+        fitted.words.update(_dict(part))
+    model = df.sparkSession.sparkContext.broadcast(fitted)
 
     def repair(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
