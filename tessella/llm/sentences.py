@@ -83,7 +83,7 @@ def masked(df: DataFrame, text: str, out: str) -> DataFrame:
     # quotation marks in one form: straight ones by their side, German ones by their opening
     straight = F.translate(F.regexp_replace(m, r"\"(?<=(?:^|[\s(（\[])\")(?=\S)", "“"), '"', "”")
     step(F.when(F.contains(m, F.lit('"')), straight).otherwise(m))
-    step(F.when(F.contains(m, F.lit("„")), F.regexp_replace(m, r"„([^„“”]{1,400})“", "„$1”")).otherwise(m))
+    step(F.when(F.contains(m, F.lit("„")), F.regexp_replace(m, r"„([^„“”]+)“", "„$1”")).otherwise(m))
     step(F.translate(m, "„«»「」『』", "““”“”“”"))
     word, dot = r"(?<![\p{L}\p{N}])", TO[0]
     never = (
@@ -96,7 +96,7 @@ def masked(df: DataFrame, text: str, out: str) -> DataFrame:
         rf"(?=\s\p{{Lu}})(?<=(?<!\p{{L}})(?:{GERMAN_BEFORE_ORDINAL})\s\p{{Nd}}{{1,4}}.)",
         rf"(?<=\p{{Nd}}.)(?=\s(?:{GERMAN_MONTHS})\b)",
         r"(?=[)\]”]*\s+\p{Ll})",  # what goes on in lower case
-        rf"(?=[^()\n{ENDS}]{{0,80}}\)\s*\p{{Ll}})",  # within brackets that the sentence goes on behind
+        rf"(?=[^()\n{ENDS}]*+\)\s*\p{{Ll}})",  # within brackets that the sentence goes on behind
     )
     inside = (
         rf"(?=[{ENDS}])",  # all but the last of a run
@@ -108,8 +108,15 @@ def masked(df: DataFrame, text: str, out: str) -> DataFrame:
     )
     step(F.regexp_replace(m, rf"[{ENDS}](?:{'|'.join(inside)})", MASK))
     # quotations: what is inside, then what reporting words follow
-    quoted = F.regexp_replace(m, rf"[{ENDS}](?:(?=\s?[^“”\s][^“”]{{0,300}}+”)|(?=\s?”\s?(?:[とってなか]|하고|라고|이라고|라며|고 )))", MASK)
-    start = rf"(“(?<=(?:^|[{ENDS}”\n]){LEADING}{{0,4}}“)[^“”]{{1,300}})[{ENDS}]"
+    parts = F.split(m, "(?=[“”])")
+
+    def within(x: Column, k: Column) -> Column:
+        paired = x.startswith("“") & F.coalesce(F.get(parts, k + 1).startswith("”"), F.lit(False))
+        return F.when(paired, F.regexp_replace(x, rf"[{ENDS}](?=\s?\S)", MASK)).otherwise(x)
+
+    followed = rf"[{ENDS}](?=\s?”\s?(?:[とってなか]|하고|라고|이라고|라며|고 ))"
+    quoted = F.regexp_replace(F.array_join(F.transform(parts, within), ""), followed, MASK)
+    start = rf"(“(?<=(?:^|[{ENDS}”\n]){LEADING}{{0,4}}“)[^“”]+)[{ENDS}]"
     said = rf"{start}(\s?”(?:(?=“)|[^“”{ENDS}\n]{{0,24}}(?:{SAY_ZH})|\s?(?:\p{{Lu}}[\p{{L}}\p{{M}}]*\s){{1,3}}(?:{SAY_EN})\b))"
     step(F.when(F.contains(m, F.lit("”")), F.regexp_replace(quoted, said, rf"$1{MASK}$2")).otherwise(m))
     return df
