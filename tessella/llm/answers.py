@@ -214,7 +214,7 @@ class Units:
         out, h = [], np.zeros(len(self.unit), np.uint64)
         with np.errstate(over="ignore"):
             for k in range(CONTEXT):
-                before = np.concatenate([np.zeros(k, np.uint64), self.unit[: len(self.unit) - k]])
+                before = np.concatenate([np.zeros(min(k, len(h)), np.uint64), self.unit[: max(len(h) - k, 0)]])
                 h = _mix(h * np.uint64(0x9E3779B97F4A7C15) + before + np.uint64(k + 1))
                 valid = (self.place >= k) & (self.place > 0)
                 if k:
@@ -449,7 +449,7 @@ def defective_pairs(questions: DataFrame, documents: DataFrame, key: str = "id",
             found, rest = classify(b["id"].tolist(), b["q"].tolist(), b["a"].tolist(), language.value)
             keys, whole = tails_of([t for _, t in rest]) if rest else ([], [])
             yield pd.DataFrame(
-                {"id": [i for i, _ in found] + [i for i, _ in rest], "defect": [d for _, d in found] + [None] * len(rest), "keys": [None] * len(found) + list(keys), "whole": [False] * len(found) + list(whole)}
+                {"id": [i for i, _ in found] + [i for i, _ in rest], "defect": pd.Series([d for _, d in found] + [None] * len(rest), dtype=object), "keys": [None] * len(found) + list(keys), "whole": [False] * len(found) + list(whole)}
             )
 
     judged = stored(rows.mapInPandas(judge, "id long, defect string, keys array<long>, whole boolean"))

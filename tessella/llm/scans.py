@@ -383,7 +383,7 @@ def _counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         k, n = np.unique(np.concatenate([_pair_keys(before, c, 0), _pair_keys(c, behind, 1)]), return_counts=True)
         yield pd.DataFrame({"kind": 1, "k": k.view(np.int64), "a": 0, "z": 0, "w": None, "n": n})
         forms_ = list(words)
-        yield pd.DataFrame({"kind": 2, "k": np.array([line_hash(skeleton(w)) for w in forms_], np.int64), "a": 0, "z": 0, "w": forms_, "n": [words[w] for w in forms_]})
+        yield pd.DataFrame({"kind": 2, "k": np.array([line_hash(skeleton(w)) for w in forms_], np.int64), "a": 0, "z": 0, "w": pd.Series(forms_, dtype=object), "n": np.fromiter(words.values(), np.int64, len(words))})
 
 
 def _pair_table(counted: DataFrame) -> np.ndarray:
@@ -414,7 +414,8 @@ def misread_words(texts: DataFrame, counted: DataFrame) -> DataFrame:
 
     def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield b[[r in readings(w) for w, r in zip(b["w"], b["r"], strict=True)]]
+            kept = [(w, r) for w, r in zip(b["w"].tolist(), b["r"].tolist(), strict=True) if r in readings(w)]
+            yield pd.DataFrame({"w": [w for w, _ in kept], "r": [r for _, r in kept]}, dtype=object)
 
     rare = cut(rare.mapInPandas(near, "w string, r string"))
     sc = texts.sparkSession.sparkContext
@@ -478,8 +479,8 @@ def scan_noise(df: DataFrame, key: str = "id", fields: tuple[str, ...] = ("conte
 
         def words(batches: Iterator[pd.DataFrame], held=held) -> Iterator[pd.DataFrame]:
             for b in batches:
-                hit = [not held.value.keys().isdisjoint(words_of(body_of(t))) for t in b["t"]]
-                yield b.loc[hit, ["id", "field"]].assign(kind="misread")
+                rows = [(i, f, "misread") for i, f, t in zip(b["id"].tolist(), b["field"].tolist(), b["t"].tolist(), strict=True) if not held.value.keys().isdisjoint(words_of(body_of(t)))]
+                yield pd.DataFrame(rows, columns=["id", "field", "kind"])
 
         found = found.unionByName(texts.mapInPandas(words, "id long, field string, kind string"))
     return found.distinct() if more else found

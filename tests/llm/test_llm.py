@@ -217,6 +217,42 @@ def test_refusals_of_any_length_and_with_formulas():
     assert not answers.is_refusal("We cannot solve it by factoring.\nThen x = 2 or x = -2.", question)
 
 
+def test_truncation_and_language_with_wording_of_another_domain(spark):
+    import random
+
+    rng = random.Random(11)
+    english = ["Chop the {n} and put {k} spoons of {m} beside it.", "Heat the {m} until the {n} turns brown.", "When the {n} is ready, serve it with {m}.", "Let the {n} rest for {k} minutes because the {m} is hot."]
+    spanish = ["Corte la {n} y ponga {k} cucharas de {m} al lado.", "Caliente el {m} hasta que la {n} quede dorada.", "Cuando la {n} esté lista, sirva con {m}.", "Deje la {n} por {k} minutos porque el {m} quema."]
+    nouns = {"en": ["carrot", "onion", "butter", "pepper", "garlic", "rice", "lentil", "tomato"], "es": ["zanahoria", "cebolla", "mantequilla", "pimienta", "harina", "sal", "lenteja", "aceituna"]}
+
+    asked = {"en": ["How should one store {k} pieces of {n} and {m}?", "Which {n} goes well with a bowl of {m}?"], "es": ["¿Cómo se guardan {k} piezas de {n} y {m}?", "¿Qué {n} va bien con un plato de {m}?"]}
+
+    def text(language, n, lines=None):
+        lines = lines or (english if language == "en" else spanish)
+        return " ".join(rng.choice(lines).format(n=rng.choice(nouns[language]), m=rng.choice(nouns[language]), k=rng.randint(2, 90)) for _ in range(n))
+
+    rows, truth = [], {}
+    for i in range(6000):
+        language = "en" if i % 3 else "es"
+        question, answer = text(language, 3, asked[language]), text(language, 4)
+        if i % 20 == 7:
+            words = answer.split(" ")
+            cut = rng.randrange(6, len(words) - 1)
+            while words[cut - 1].endswith("."):
+                cut -= 1
+            answer, truth[i] = " ".join(words[:cut]), "truncated"
+        elif i % 20 == 13:
+            answer, truth[i] = text("es" if language == "en" else "en", 4), "other_language"
+        rows.append((i, question, answer))
+    docs = spark.createDataFrame([(i, text(x, 6), x) for i in range(400) for x in [("en", "es")[i % 2]]], "doc_id long, text string, lang string")
+    got = {r.id: r.defect for r in answers.defective_pairs(spark.createDataFrame(rows, "id long, content string, answer_markdown string"), docs).collect()}
+    right = sum(got.get(i) == d for i, d in truth.items())
+    assert right >= 0.95 * len(truth) and right >= 0.95 * len(got)
+    none = docs.limit(0)
+    assert answers.defective_pairs(spark.createDataFrame([(1, "a", None), (2, None, "x"), (3, "b", "")], "id long, content string, answer_markdown string"), none).count() == 2
+    assert answers.defective_pairs(spark.createDataFrame([], "id long, content string, answer_markdown string"), none).count() == 0
+
+
 def test_language_model_on_held_out_documents(spark, data):
     d = spark.read.parquet(f"{data}/documents.parquet")
     model = answers.fit_languages(d.filter("doc_id % 2 = 0"), 50)
@@ -234,7 +270,7 @@ def test_scan_noise_and_repair(spark, data):
     rows = [page(900000 + k, f"壬癸子丑寅卯辰巳{k}") for k in range(8)]
     rows += [
         (900101, "The modulus of the num-\nber is known\n- 12 -\nand so on for ever.", "42"), (900102, "设函数\n51\n37\n70", ""), (900103, "求值\n第 3 页 共 9 页\n并说明理由。", None), (900104, "", None),
-        (900105, "Section 4 | Review    ~ 7 ~\n求值", None),
+        *[(900105 + k, f"Section {k} | Review    ~ {k} ~\n求值", None) for k in range(3)],
     ]
     df = stems.unionByName(spark.createDataFrame(rows, "id long, content string, answer_markdown string")).withColumn("kind", F.lit("x"))
     got = {(r.id, r.field, r.kind) for r in scans.scan_noise(df).filter("id >= 900000").collect()}
@@ -245,6 +281,43 @@ def test_scan_noise_and_repair(spark, data):
     assert text[900102, "content"] == "设函数\n51\n37\n70" and text[900101, "answer_markdown"] == "42"
 
 
+@pytest.mark.parametrize("n", [400, 1600])
+def test_scan_noise_in_wording_of_its_own(spark, n, monkeypatch):
+    import random
+
+    if n > 400:
+        monkeypatch.setattr(scans, "WORDS_AT_ONCE", 3)  # several passes
+    rng = random.Random(n)
+    syllables = ["ran", "mel", "tor", "clin", "hu", "dow", "sem", "lim", "vor", "nud"]
+    lexicon = sorted({"".join(rng.choices(syllables, k=rng.randint(2, 3))) for _ in range(30)})
+    follows = {w: rng.sample(lexicon, 4) for w in lexicon}
+    headers = ["Northern Gazette of Gardens # ", "Handbook for Keepers of Bees, Vol #"]
+    rows, truth = [], set()
+    for i in range(n):
+        words = [rng.choice(lexicon)]
+        while len(words) < 40:
+            words.append(rng.choice(follows[words[-1]]))
+        if i % 10 == 3:
+            k = next((k for k, w in enumerate(words) if scans.readings(w) and "rn" not in w and "m" in w), None)
+            if k is not None:
+                words[k] = words[k].replace("m", "rn", 1)
+                truth.add((i, "misread"))
+        lines = [" ".join(words[k : k + 8]) for k in range(0, 40, 8)]
+        if i % 12 == 5:
+            lines.insert(2, rng.choice(headers).replace("#", str(i)).strip())
+            truth.add((i, "header"))
+        if i % 15 == 4:
+            lines.insert(3, f"- {i % 90} -")
+            truth.add((i, "page_no"))
+        rows.append((i, "\n".join(lines), None))
+    df = spark.createDataFrame(rows, "id long, content string, answer_markdown string")
+    got = {(r.id, r.kind) for r in scans.scan_noise(df).collect()}
+    assert len(got & truth) >= 0.95 * len(truth) and len(got & truth) >= 0.95 * len(got)
+    if n == 400:
+        text = {r.id: r.text for r in scans.repaired_texts(df).collect()}
+        assert all(not set(scans.words_of(text[i])) - set(lexicon) for i, kind in truth if kind == "misread" and (i, "misread") in got)
+
+
 def test_lines_are_judged_by_themselves(spark, monkeypatch):
     import numpy as np
     import xxhash
@@ -301,6 +374,36 @@ def test_crossover_keeps_every_item():
     assert child.min() >= 0 and np.bincount(child, sizes).max() <= 256 and len(child) == 400
 
 
+def test_evolution_needs_fewer_containers_than_best_fit(spark):
+    import numpy as np
+
+    saved = 0
+    for seed in range(3):
+        rng = np.random.default_rng(seed)
+        sizes = rng.integers(20, 101, 1000)
+        rows = spark.createDataFrame([(k, int(x)) for k, x in enumerate(sizes)], "doc_id long, n_tokens long")
+        specs = spark.createDataFrame([(1, 150)], "spec_id long, capacity_tokens int")
+        used = packing.pack(rows, specs).select("bin_id").distinct().count()
+        plain = len(np.unique(packing.first_solution(sizes.astype(np.int64), 150, rng, 0.0)))
+        assert packing.lower_bound(sizes, 150) <= used <= plain
+        saved += plain - used
+    assert saved > 0
+
+
+def test_islands_exchange_their_elite():
+    import numpy as np
+    import pyarrow as pa
+
+    rng = np.random.default_rng(2)
+    sizes = rng.integers(20, 101, 300).astype(np.int32)
+    row = {"spec_id": 1, "capacity": 150, "block": 0, "doc_id": np.arange(300).tobytes(), "part": np.zeros(300, np.int32).tobytes(), "size": sizes.tobytes(), "island": 0, "population": None, "elite": None, "score": 0.0}
+    kinds = pa.schema([("spec_id", pa.int64()), ("capacity", pa.int64()), ("block", pa.int64()), *[(c, pa.binary()) for c in ("doc_id", "part", "size")], ("island", pa.int32()), ("population", pa.binary()), ("elite", pa.binary()), ("score", pa.float64())])
+    solved = [next(packing._epoch(0)(iter([pa.RecordBatch.from_pylist([row | {"island": k}], kinds)]))).to_pylist()[0] for k in (0, 1)]
+    again = next(packing._epoch(1)(iter([pa.RecordBatch.from_pylist([solved[0] | {"elite": solved[1]["elite"]}], kinds)]))).to_pylist()[0]
+    assert again["score"] >= max(s["score"] for s in solved)
+    assert len(np.frombuffer(again["population"], np.int32)) == packing.POPULATION * 300
+
+
 def test_tokens_come_back_exactly(spark):
     enc = tokens.encoding(f"{tokens.FOLDER}/{tokens.VOCABULARY}")
     text = "数列 and <|endoftext|> été"
@@ -354,6 +457,13 @@ def test_sentences(spark, units):
     assert {r.doc_id for r in got} == {1}
 
 
+def test_quotations_of_any_length(spark):
+    speech = "".join(f"第{k}步成立。" for k in range(400))
+    text = f"老师说：“{speech}” 大家明白了。”多余的引号。“没有结束。后面还有。"
+    got = [text[r.start_char : r.end_char] for r in sentences.sentence_units(spark.createDataFrame([(1, text)], "doc_id long, text string")).orderBy("start_char").collect()]
+    assert got == [f"老师说：“{speech}”", "大家明白了。”", "多余的引号。", "“没有结束。", "后面还有。"]
+
+
 def test_sentences_cover_all_words_once(spark, data):
     d = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text").withColumn("pos", F.lit(1))
     texts = {r.doc_id: r.text for r in d.collect()}
@@ -368,5 +478,27 @@ def test_sentences_cover_all_words_once(spark, data):
 
 
 @pytest.mark.parametrize("name", sorted(registry.queries()))
-def test_queries_run(spark, data, name):
-    assert registry.queries()[name](spark, data).count() >= 0
+def test_queries_give_rows_of_their_tables(spark, data, name):
+    df = registry.queries()[name](spark, data)
+    rows = df.count()
+    assert rows > 0
+    if "id" in df.columns:
+        assert df.join(spark.read.parquet(f"{data}/questions.parquet"), "id", "left_anti").isEmpty()
+    if name == "p2_forms":
+        assert rows == spark.read.parquet(f"{data}/questions.parquet").count()
+    if name in ("p6_bins", "p8_found"):
+        assert df.join(spark.read.parquet(f"{data}/documents.parquet"), "doc_id", "left_anti").isEmpty()
+
+
+@pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
+def test_queries_with_sql(spark, data, name):
+    import os
+
+    import duckdb
+
+    con = duckdb.connect()
+    for f in os.listdir(data):
+        con.execute(f"create view {f.split('.')[0]} as select * from '{data}/{f}'")
+    rel = con.execute(registry.oracle_sql()[name])
+    names = [x[0] for x in rel.description]
+    assert sorted(tuple(r[c] for c in names) for r in registry.queries()[name](spark, data).collect()) == sorted(rel.fetchall())
