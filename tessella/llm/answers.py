@@ -416,7 +416,7 @@ def broken_off(tails: DataFrame, counts: DataFrame, units: int) -> DataFrame:
     """The ``tails`` (id, keys, whole) whose end is unlikely. ``counts`` has (k, ends, inside, going).
 
     Of the contexts the longest one counts that is common inside texts: how often it is an end against how often the sentence goes on
-    behind it (a closing sign behind it is no going on), over the share of ends among all units; a text of fewer
+    behind it (a closing sign behind it is no going on), the answer itself left out, over the share of ends among all units; a text of fewer
     units than a context is taken as it is unless a formula is open. A line that also stands between other lines is a header, whatever stands before it.
     """
     total = tails.count()
@@ -430,7 +430,7 @@ def broken_off(tails: DataFrame, counts: DataFrame, units: int) -> DataFrame:
     common = max(COMMON, COMMON_SHARE * units)
     ratio = F.lit(None).cast("double")
     for at in range(CONTEXT):
-        likely = F.col(f"ends{at}") / F.greatest(F.col(f"going{at}"), F.lit(1)) * units / total
+        likely = (F.col(f"ends{at}") - 1) / F.greatest(F.col(f"going{at}"), F.lit(1)) * units / total
         ratio = F.when(F.col(f"inside{at}") >= common, likely).otherwise(ratio)
     ratio = F.when(~F.col("whole"), ratio)
     header = F.col(f"inside{CONTEXT + 1}") >= 3
