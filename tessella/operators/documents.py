@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from tessella.functions.latex import safe_asset
 from tessella.functions.parsers import restore_locks
+from tessella.functions.shared import best_pages
 from tessella.functions.values import py_strip
+from tessella.operators.pairs import small_side
+from tessella.plans.lineage import cut
 
 # What a text looks like where formulas were lost from it.
 LOSS_PATTERNS = (
@@ -17,6 +21,9 @@ LOSS_PATTERNS = (
     r"使得\s*”\s*是\s*“\s*”\s*的",
 )
 ANY_IMAGE = r"!\[[^\]]*\]\(([^)]+)\)"
+# What a text counts for in the weight of its document besides its letters, and the weight up to which a document is met in one task.
+ROW = 8
+HEAVY = 1 << 19
 # Fixed value: where uploaded files lie, in a reference.
 UPLOADS = "^(?:static/)?uploads/"
 
@@ -51,9 +58,14 @@ def merged(pages: DataFrame) -> DataFrame:
     return kept.groupBy("doc_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("page_index", "t"))), lambda x: x["t"]), "\n\n").alias("markdown"))
 
 
+def letters_only(c: Column) -> Column:
+    """The letters and digits that make up shingles."""
+    return F.regexp_replace(c, "[^一-龥a-zA-Z0-9]+", "")
+
+
 def shingles(c: Column) -> Column:
     """Different sequences of three letters or digits of a text, or the whole of a shorter one."""
-    letters = F.regexp_replace(F.coalesce(c, F.lit("")), "[^一-龥a-zA-Z0-9]", "")
+    letters = letters_only(F.coalesce(c, F.lit("")))
 
     def of(s: Column) -> Column:
         grams = F.array_distinct(F.regexp_extract_all(s, F.lit("(?=(.{3}))"), F.lit(1)))
@@ -62,9 +74,39 @@ def shingles(c: Column) -> Column:
     return F.transform(F.array(letters), of)[0]  # bound once
 
 
-def attributed(questions: DataFrame, pages: DataFrame) -> DataFrame:
+def attributed(questions: DataFrame, pages: DataFrame, weights: DataFrame | None = None, heavy: int = HEAVY) -> DataFrame:
     """(doc_id, q, page_index): the page each question shares most shingles with, the first of equals, 0 when none.
 
+    A document is met in one task, where its shingles are numbers that never leave it; what is shuffled are the texts. Documents
+    of a weight above ``heavy`` are spread over tasks by their shingles instead. ``weights`` has (doc_id, w), the letters of the
+    questions and pages of each document and ``ROW`` for each of them, where the caller knows a cheaper way to them.
+    """
+    if weights is None:
+        each = questions.select("doc_id", F.col("content").alias("t")).unionByName(pages.select("doc_id", F.col("markdown").alias("t")))
+        weights = each.groupBy("doc_id").agg(F.sum(F.coalesce(F.length("t"), F.lit(0)) + ROW).alias("w"))
+    lost = questions.filter("doc_id is null").select("doc_id", "q", F.lit(0).alias("page_index"))
+    questions, pages = questions.filter("doc_id is not null"), pages.filter("doc_id is not null and page_index is not null")
+    hot = cut(weights.filter(F.col("w") > heavy).select("doc_id"))
+    if hot.isEmpty():
+        return _attributed_within(questions, pages).unionByName(lost)
+    hot = small_side(hot)
+    parts = [[x.join(hot, "doc_id", how) for x in (questions, pages)] for how in ("left_anti", "left_semi")]
+    return _attributed_within(*parts[0]).unionByName(_attributed_across(*parts[1])).unionByName(lost)
+
+
+def _attributed_within(questions: DataFrame, pages: DataFrame) -> DataFrame:
+    """``attributed``, each document in one task. Bounded by the texts of one document."""
+    q = questions.groupBy("doc_id").agg(F.collect_list(F.struct(F.lit(None).cast("long").alias("page"), "q", F.col("content").alias("t"))).alias("qs"))
+    p = pages.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct(F.col("page_index").cast("long").alias("page"), F.lit(None).cast(questions.schema["q"].dataType).alias("q"), F.col("markdown").alias("t")))).alias("ps"))
+    both = q.join(p, "doc_id", "left")
+    rows = both.select("doc_id", F.explode(F.concat(F.coalesce("ps", F.array().cast(p.schema["ps"].dataType)), "qs")).alias("x")).select("doc_id", F.col("x.page").alias("page"), "x.q", F.col("x.page").isNull().alias("asks"), "x.t")
+    out = questions.select("doc_id", "q").schema
+    return rows.mapInArrow(best_pages, StructType([*[StructField(f.name, f.dataType) for f in out], StructField("page_index", IntegerType())]))
+
+
+def _attributed_across(questions: DataFrame, pages: DataFrame) -> DataFrame:
+    """``attributed``, the shingles of each document spread over tasks.
+
     Each shingle of a document is one row with the pages that hold it, hashed to 64 bits. One that stands on most pages of its
     document counts for all of them, and against the few that lack it; so a shingle common to a paper costs next to nothing.
     """

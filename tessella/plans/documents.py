@@ -47,11 +47,15 @@ ATTRIBUTION = """items as (select pq.paper_id as doc_id, pq.id as q, q.content,
 def doc4_attribution(spark: SparkSession, d: str) -> DataFrame:
     """DOC4, JOIN16: items of every paper given to its pages of four items by shared shingles."""
     pq = table(spark, d, "paper_questions").select(F.col("paper_id").alias("doc_id"), F.col("id").alias("q"), "question_id")
-    items = pq.join(table(spark, d, "questions").select(F.col("id").alias("question_id"), "content"), "question_id")
+    questions = table(spark, d, "questions").select(F.col("id").alias("question_id"), documents.letters_only(F.col("content")).alias("content"))
+    # an item's letters stand in its own text and in its page's
+    sizes = questions.select("question_id", (2 * F.coalesce(F.length("content"), F.lit(0)) + 2 * documents.ROW).alias("w"))
+    weights = pq.join(sizes, "question_id").groupBy("doc_id").agg(F.sum("w").alias("w"))
+    items = pq.join(questions, "question_id").repartition("doc_id")  # pages and items are made of the same shuffled rows
     items = items.withColumn("k", F.row_number().over(Window.partitionBy("doc_id").orderBy("q")) - 1)
     text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("k", "content"))), lambda x: x["content"]), "\n")
     paper_pages = items.groupBy("doc_id", F.floor(F.col("k") / 4).cast("int").alias("page_index")).agg(text.alias("markdown"))
-    return documents.attributed(items.select("doc_id", "q", "content"), paper_pages)
+    return documents.attributed(items.select("doc_id", "q", "content"), paper_pages, weights)
 
 
 @query(

@@ -217,6 +217,39 @@ def test_attribution_ties_and_nothing(spark):
     assert {r.q: r.page_index for r in documents.attributed(q, p).collect()} == {1: 1, 2: 0, 3: 4}
 
 
+def test_attribution_within_and_across_tasks(spark):
+    import random
+
+    r = random.Random(5)
+    text = lambda letters, sizes: r.choice([None, *["".join(r.choice(letters) for _ in range(r.choice(sizes)))] * 6])
+    q, p = [(None, 0, "abc")], [(None, 3, "abc"), (5, None, "abc")]
+    for d in range(60):
+        letters = "ab1中文\n $龥一" if d % 2 else "abcdefghij中文字母。"
+        p += [(d, 2 * k - 1, text(letters, (0, 1, 2, 3, 5, 30, 200))) for k in range(r.choice([0, 1, 9, 40]))]
+        q += [(d, 100 * d + k + 1, text(letters, (0, 1, 2, 3, 5, 30))) for k in range(r.choice([0, 1, 5, 60]))]
+    expected = {}
+    grams = lambda t: (lambda s: {s[k : k + 3] for k in range(max(1, len(s) - 2))} - {""})("".join(c for c in t or "" if c.isascii() and c.isalnum() or "一" <= c <= "龥"))
+    for d, k, t in q:
+        shared = [(len(grams(t) & grams(m)), -i, i) for e, i, m in p if e == d and d is not None and i is not None]
+        expected[k] = max((x for x in shared if x[0]), default=(0, 0, 0))[2]
+    questions, pages = spark.createDataFrame(q, "doc_id long, q long, content string"), spark.createDataFrame(p, "doc_id long, page_index int, markdown string")
+    for heavy in (documents.HEAVY, 900, 0):
+        got = documents.attributed(questions, pages, heavy=heavy).collect()
+        assert len(got) == len(q) and {x.q: x.page_index for x in got} == expected
+
+
+def test_attribution_shuffles_texts_not_shingles(spark, data):
+    from tessella.plans.documents import doc4_attribution
+
+    gateway, store = spark.sparkContext._gateway, spark.sparkContext._jsc.sc().statusStore()
+    none = gateway.jvm.java.util.ArrayList()
+    written = lambda: sum(s.shuffleWriteRecords() for s in (lambda l: [l.apply(k) for k in range(l.size())])(store.stageList(none, False, False, gateway.new_array(gateway.jvm.double, 0), none)))
+    before, items = written(), spark.read.parquet(f"{data}/paper_questions.parquet").count()
+    doc4_attribution(spark, data).write.format("noop").mode("overwrite").save()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    assert written() - before < 20 * items
+
+
 def test_assets_match_by_names_not_parts(spark):
     refs = spark.createDataFrame([("FIG\\A.png",), ("a",)], "ref string")
     assets = spark.createDataFrame([("x/a.png",), ("x/data.png",)], "asset string")
