@@ -169,6 +169,46 @@ def test_a_hot_class_of_copies_is_expanded_in_blocks(spark, monkeypatch):
     assert {r.id: (r.group_id, r.n_links) for r in found.groups().collect()} == {i: (0, 2) for i in ids}
 
 
+def test_records_behind_a_key_are_compared_as_arrays(spark, monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    r = np.random.default_rng(1)
+    k = np.sort(np.concatenate([r.integers(-300, 300, 1200), np.full(90, 17), np.full(200, 400)]))
+    n = len(k)
+    ids, sketches = r.permutation(n), r.integers(-(2**62), 2**62, (3, 6))[:, r.integers(0, 6, n)] ^ (1 << r.integers(0, 62, (3, n)))
+    rows = pa.record_batch([pa.array(x) for x in (k, ids, *sketches)], ["k", "id", *neardup.SKETCH])
+    bits = np.bitwise_count((sketches[:, :, None] ^ sketches[:, None, :]).view(np.uint64)).sum(0)
+    for hot, following, together in ((1 << 17, 32, 1 << 16), (50, 4, 64), (20, 3, 30)):
+        for name, value in (("HOT", hot), ("NEXT", following), ("ROWS", together)):
+            monkeypatch.setattr(neardup, name, value)
+        for most in (None, 50):
+            out = [x for b in neardup._meeting(most)(iter([rows.slice(i, 37) for i in range(0, n, 37)])) for x in b.to_pylist()]
+            rest = {x["k"] for x in out if x["b"] is None}
+            assert sum(x["b"] is None for x in out) == np.isin(k, list(rest)).sum() and (hot > n) == (not rest)
+            near = (k[:, None] == k) & ~np.isin(k, list(rest)) & (ids[:, None] < ids) & (most is None or bits <= most)
+            assert sorted((x["a"], x["b"]) for x in out if x["b"] is not None) == sorted((int(ids[i]), int(ids[j])) for i, j in zip(*np.nonzero(near), strict=True))
+
+
+def test_keys_beyond_a_task_are_laid_out_in_blocks(spark, monkeypatch):
+    text = "已知函数的图像关于原点对称且在区间上单调递增求参数的取值范围并说明理由"
+    df = spark.createDataFrame([(k, text + 3 * chr(0x4E00 + 40 * k), "") for k in range(30)], "id long, content string, source string")
+    assert neardup._most_differing(0.7, 192, 4.2) == 50
+    # functions go to the workers as they are in the module, so the limits of one task are set where the pairs are planned
+    meeting = neardup._meeting
+    monkeypatch.setattr(neardup, "_meeting", lambda most: _few_rows(meeting(most)))
+    assert sorted(map(tuple, neardup.NearDuplicates(df).pairs().collect())) == list(itertools.combinations(range(30), 2))
+
+
+def _few_rows(meet):
+    def limited(batches):
+        neardup.ROWS, neardup.HOT = 4, 8
+        yield from meet(batches)
+        neardup.ROWS, neardup.HOT = 1 << 16, 1 << 17
+
+    return limited
+
+
 def test_pairs_just_close_enough_are_met(spark):
     import numpy as np
 
